@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, token_counts, token_files
+from . import decontamination, packing, token_counts, token_files
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), seq_len=2048, end_id=0)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontamination.build_index(table(spark, sf_dir, "documents"))
+    return decontamination.report(index, table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), end_id=1))
 
@@ -23,7 +28,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_best_fit_packing, op6_token_files, op7_token_counts]
+    found = [op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts]
     return {f.__name__: f for f in found}
 
 
