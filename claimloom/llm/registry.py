@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontamination, packing, token_counts, token_files
+from . import decontamination, near_duplicates, packing, token_counts, token_files
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), rule="start", lead_chars=200)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts]
+    found = [op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
