@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import decontamination, near_duplicates, packing, token_counts, token_files
+from . import decontamination, near_duplicates, packing, quality, token_counts, token_files
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op10_ngram_jaccard_join]
+    found = [op1_quality_classifier, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
