@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontamination, near_duplicates, packing, quality, token_counts, token_files
+from . import decontamination, near_duplicates, packing, quality, sharding, token_counts, token_files, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.build_index(warc.write(table(spark, sf_dir, "pages"), least=1000))
+    found = warc.read(warc.captures_of(directory))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), seq_len=2048, end_id=0)
 
@@ -32,12 +39,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), rule="start", lead_chars=200)
 
 
+def op9_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op10_ngram_jaccard_join]
+    found = [op1_quality_classifier, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op9_best_fit_sharding, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
