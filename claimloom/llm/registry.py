@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontamination, near_duplicates, packing, quality, sharding, token_counts, token_files, warc
+from . import decontamination, licenses, near_duplicates, packing, quality, sharding, token_counts, token_files, topk, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return topk.search(topk.build(vectors, factor=1024), vectors.where(F.col("id") % 100 == 0), k=10, factor=1024)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = warc.build_index(warc.write(table(spark, sf_dir, "pages"), least=1000))
     found = warc.read(warc.captures_of(directory))
@@ -39,6 +44,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), rule="start", lead_chars=200)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("id"), F.expr(licenses.path_sql("div")).alias("path"), "text")
+    return licenses.licenses(files, threshold=0.7).withColumnRenamed("id", "doc_id")
+
+
 def op9_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,9 +60,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op9_best_fit_sharding, op10_ngram_jaccard_join]
+    found = [op1_quality_classifier, op2_exact_topk, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op8_license_scan, op9_best_fit_sharding, op10_ngram_jaccard_join]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.oracle_sql(threshold=0.7)}
