@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -36,8 +36,10 @@ from .textblocks import flat, slices
 
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
+#: A table of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 32 << 20
 INDEX = "docs binary, terms binary, postings binary"
-REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, key binary"
 MATCHES = "doc_id long, item_id long, start long, length long"
 
 _FOLD = bytearray(range(256))
@@ -96,23 +98,28 @@ def build_index(docs: DataFrame) -> DataFrame:
                 steps[begin] = listed[begin]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([_sealed(doc_id=s.column(0), base=pa.array(base), n=pa.array(n))], pa.binary()),
+                        pa.array([_sealed(doc_id=s.column(0), base=pa.array(base), n=pa.array(n), key=s.column(2))], pa.binary()),
                         pa.array([_sealed(term=d.dictionary, count=pa.array(count))], pa.binary()),
                         pa.array([_sealed(step=pa.array(steps.astype(np.uint32)))], pa.binary()),
                     ],
                     ["docs", "terms", "postings"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("key"))
     return stored(rows.mapInArrow(run, INDEX), "postings", **{"parquet.block.size": str(16 << 20), "compression": "none"})
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 class Segment:
     """One row of the index, with the lists of the terms asked for."""
 
     def __init__(self, docs: bytes, terms: bytes, postings: bytes):
         docs_, terms_ = _opened(docs), _opened(terms)
-        self.doc_id = docs_.column(0)
+        self.doc_id, self.key = docs_.column(0), docs_.column(3)
         self.base, self.n = np.asarray(docs_.column(1)), np.asarray(docs_.column(2))
         self.term, self.count = terms_.column(0), np.asarray(terms_.column(1))
         self.begin = np.cumsum(self.count) - self.count
@@ -253,6 +260,20 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, within: int |
 
 def report(index: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row for each document: its words, those inside any occurrence, and the items."""
+    return _report(index, items, window).drop("key")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The documents that no window of the items occurs in, with all their columns."""
+    found = _report(build_index(docs), items, window).where("contaminated").select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).distinct()
+    found = stored(found, "contaminated")
+    if found.count() * 48 <= BROADCAST_BYTES:  # else a sort-merge join
+        found = F.broadcast(found)
+    same = (text_key(docs["text"].cast("string")) == found["found_key"]) & docs["doc_id"].cast("long").eqNullSafe(found["found_id"])
+    return docs.join(found, same, "left_anti")
+
+
+def _report(index: DataFrame, items: DataFrame, window: int) -> DataFrame:
     blocks = compiled(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +297,7 @@ def report(index: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
                 for doc, own in names.items():
                     digest[doc], count[doc] = hashlib.sha256(",".join(own).encode()).hexdigest(), len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [seg.doc_id, pa.array(seg.n), pa.array(hit), pa.array(count), pa.array(digest), pa.array(hit > 0)],
+                    [seg.doc_id, pa.array(seg.n), pa.array(hit), pa.array(count), pa.array(digest), pa.array(hit > 0), seg.key],
                     [f.split()[0] for f in REPORT.split(", ")],
                 )
 

@@ -214,13 +214,8 @@ def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"key": pa.array([keys[i] for i in on], pa.binary()), "peer": pa.array([keys[root(i)] for i in on], pa.binary()), "links": pa.array(links[on])})
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_links, n_copies.
-
-    ``class_id`` is the smallest doc_id of the documents that links connect, ``n_links`` the
-    number of different texts at the threshold or above, ``n_copies`` the rows with this
-    very text, this one included.
-    """
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, key), and each text: key, first_id, n_copies, n_links, root."""
     bands, rows = plan_bands(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
@@ -264,7 +259,42 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     classes = components(verified.select(F.col("key").alias("u"), F.col("peer").alias("v")))
     counts = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
     named = texts.select("key", "first_id", "n_copies").join(counts, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
-    named = stored(named.withColumn("root", F.coalesce("root", "key")), "named")
+    return signed.select("doc_id", "key"), stored(named.withColumn("root", F.coalesce("root", "key")), "named")
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """One row for each document: doc_id, class_id, n_links, n_copies.
+
+    ``class_id`` is the smallest doc_id of the documents that links connect, ``n_links`` the
+    number of different texts at the threshold or above, ``n_copies`` the rows with this
+    very text, this one included.
+    """
+    rows, named = _classes(docs, n, threshold, recall)
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = named.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return signed.select("doc_id", "key").join(named, "key").select("doc_id", F.col("class_id"), "n_links", "n_copies")
+    return rows.join(named, "key").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The documents without all but one of each class: the one of the smallest doc_id stays.
+
+    All columns are kept. Rows equal in doc_id and text count as one document.
+    """
+    rows, named = _classes(docs, n, threshold, recall)
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("best"))
+    chosen = chosen.select(F.col("best.key").alias("key"), F.col("best.first_id").alias("first_id"), F.lit(True).alias("stays"))
+    copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    told = copies.join(chosen, (copies.key == chosen.key) & copies.doc_id.eqNullSafe(chosen.first_id), "left").select(copies.doc_id, copies.key, "times", F.coalesce("stays", F.lit(False)).alias("stays"))
+    told = stored(told.where("not stays or times > 1"), "told")  # rows to go, and rows that stand several times
+    sums = told.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("stays").cast("int")), F.lit(0)).alias("repeated")).first()
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    here = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("told_id"), key.alias("told_key"))
+    marks = told.select(F.col("doc_id").alias("mark_id"), F.col("key").alias("mark_key"), "stays")
+    if sums["n"] * 64 <= BROADCAST_BYTES:  # else a sort-merge join
+        marks = F.broadcast(marks)
+    met = here.join(marks, (F.col("told_key") == F.col("mark_key")) & F.col("told_id").eqNullSafe(F.col("mark_id")), "left")
+    out = met.where("stays is null").select("row.*")
+    if sums["repeated"]:
+        once = met.where("stays").dropDuplicates(["told_id", "told_key"]).select("row.*")
+        out = out.unionByName(once)
+    return out

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import table
 from . import decontamination, licenses, near_duplicates, packing, quality, sharding, token_counts, token_files, topk, warc
 
@@ -61,7 +63,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_quality_classifier, op2_exact_topk, op3_warc, op4_best_fit_packing, op5_benchmark_decontamination, op6_token_files, op7_token_counts, op8_license_scan, op9_best_fit_sharding, op10_ngram_jaccard_join]
-    return {f.__name__: f for f in found}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
