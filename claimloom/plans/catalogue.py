@@ -1,11 +1,20 @@
-"""Registered queries and their SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
+import importlib
+
+from . import registry
+
+MODULES = ("evidence",)
+
+for _name in MODULES:
+    importlib.import_module(f"{__package__}.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE)
