@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("evidence",)
+MODULES = ("evidence", "relational")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
