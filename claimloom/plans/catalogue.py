@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("evidence", "relational")
+MODULES = ("evidence", "relational", "graph")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")

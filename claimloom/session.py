@@ -36,10 +36,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     Only where that setting is absent (tests, local runs) a temporary folder takes its
     place; it goes when the process ends.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base()
     if spark.sparkContext.getCheckpointDir() is None:
