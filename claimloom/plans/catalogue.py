@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("evidence", "relational", "graph")
+MODULES = ("evidence", "relational", "graph", "inference")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
