@@ -94,10 +94,10 @@ def scoped_belief(t):
     return rounded(combined(t, "perspective_id", rows=rows))
 
 
-@plan(belief_sql(source="(SELECT * FROM d WHERE created_at <= TIMESTAMP '1995-06-30')"))
+@plan(belief_sql(source="(SELECT * FROM d WHERE created_at <= TIMESTAMP '1998-06-30')"))
 def belief_as_of(t):
     """Belief from the evidence up to a time."""
-    return rounded(combined(t, rows=masses(t).where(F.col("created_at") <= F.lit("1995-06-30").cast("timestamp_ntz"))))
+    return rounded(combined(t, rows=masses(t).where(F.col("created_at") <= F.lit("1998-06-30").cast("timestamp_ntz"))))
 
 
 @plan(f"WITH {D_SQL} SELECT claim_id, agent_id, evidence_key, evidence_line, round(alpha, 6) AS alpha, round(m0, 6) AS m0, round(m1, 6) AS m1, round(th, 6) AS th FROM d")
@@ -259,12 +259,12 @@ def bayesian_fold(t):
     return ordered.select("claim_id", R6(F.aggregate("xs", F.lit(0.5), lambda p, x: E.bayes_step(p, x["source_strength"], x["m_sup"] > 0))).alias("truth"))
 
 
-@plan("""WITH w AS (SELECT claim_id, list(least(greatest(CASE evidence_type WHEN 'empirical' THEN 1e0 ELSE 6e-1 END * source_strength * pow(99e-2, date_diff('day', CAST(created_at AS DATE), DATE '1998-12-31')), 1e-2), 1e0) ORDER BY 1) AS xs, count(*) AS n FROM bba GROUP BY 1),
+@plan("""WITH w AS (SELECT claim_id, list(least(greatest(CASE evidence_type WHEN 'empirical' THEN 1e0 ELSE 6e-1 END * source_strength * pow(99e-2, date_diff('day', CAST(created_at AS DATE), DATE '2001-12-31')), 1e-2), 1e0) ORDER BY 1) AS xs, count(*) AS n FROM bba GROUP BY 1),
 r AS (SELECT claim_id, n, least(list_sum(list_transform(list_reverse_sort(xs), lambda x, i: x * pow(5e-1, i - 1))) / 2, 1e0) AS w FROM w)
 SELECT claim_id, n AS pieces, round(w, 6) AS weight, round(least(5e-1 + 5e-1 * w + CASE n WHEN 0 THEN 0e0 WHEN 1 THEN 1e-1 WHEN 2 THEN 15e-2 WHEN 3 THEN 18e-2 ELSE 2e-1 END, 85e-2), 6) AS initial_truth FROM r""")
 def evidence_weights(t):
     """Weights by type, relevance and age; combined, and the truth to start from."""
-    age = F.datediff(F.lit("1998-12-31").cast("date"), F.col("created_at").cast("date"))
+    age = F.datediff(F.lit("2001-12-31").cast("date"), F.col("created_at").cast("date"))
     weight = F.greatest(F.least(K.evidence_weight(F.col("evidence_type")) * F.col("source_strength") * F.pow(F.lit(0.99), age), F.lit(1.0)), F.lit(0.01))
     got = t.bba.groupBy("claim_id").agg(F.collect_list(weight).alias("xs"), F.count("*").alias("pieces")).withColumn("w", E.combined_weight(F.col("xs")))
     return got.select("claim_id", "pieces", R6("w").alias("weight"), R6(E.initial_truth(F.col("w"), F.col("pieces"))).alias("initial_truth"))
@@ -290,10 +290,10 @@ def edge_masses(t):
     return e.select("source_id", "target_id", "source_key", "relationship", "strength", *[R6(m[k]).alias(k) for k in ("m0", "m1", "th", "ms")])
 
 
-@plan("""SELECT claim_id, agent_id, evidence_key, evidence_line, round(m_sup * f, 6) AS m0, round(m_unsup * f, 6) AS m1 FROM (SELECT *, greatest(least(1 - date_diff('day', CAST(created_at AS DATE), DATE '1998-12-31') / 2e3, 1e0), 0e0) AS f FROM bba) z""")
+@plan("""SELECT claim_id, agent_id, evidence_key, evidence_line, round(m_sup * f, 6) AS m0, round(m_unsup * f, 6) AS m1 FROM (SELECT *, greatest(least(1 - date_diff('day', CAST(created_at AS DATE), DATE '2001-12-31') / 2e3, 1e0), 0e0) AS f FROM bba) z""")
 def temporal_decay(t):
     """A context that discounts masses by age within a window of days."""
-    age = F.datediff(F.lit("1998-12-31").cast("date"), F.col("created_at").cast("date"))
+    age = F.datediff(F.lit("2001-12-31").cast("date"), F.col("created_at").cast("date"))
     f = F.greatest(F.least(1 - age / 2000.0, F.lit(1.0)), F.lit(0.0))
     return t.bba.select("claim_id", "agent_id", "evidence_key", "evidence_line", R6(F.col("m_sup") * f).alias("m0"), R6(F.col("m_unsup") * f).alias("m1"))
 
@@ -303,10 +303,10 @@ def belief_interval_filter(t):
     return rounded(combined(t)).where("belief >= 0.2 AND plausibility <= 0.9").select("claim_id", "belief", "plausibility")
 
 
-@plan(f"""WITH h AS (SELECT DISTINCT claim_id FROM bba WHERE created_at >= TIMESTAMP '1998-06-01'), {belief_sql(source='(SELECT d.* FROM d WHERE claim_id IN (SELECT claim_id FROM h))')[5:]}""")
+@plan(f"""WITH h AS (SELECT DISTINCT claim_id FROM bba WHERE created_at >= TIMESTAMP '2001-10-20'), {belief_sql(source='(SELECT d.* FROM d WHERE claim_id IN (SELECT claim_id FROM h))')[5:]}""")
 def refreshed_beliefs(t):
     """Recomputation of the claims that new evidence or a retraction touches, and no others."""
-    hit = t.bba.where(F.col("created_at") >= F.lit("1998-06-01").cast("timestamp_ntz")).select("claim_id").distinct()
+    hit = t.bba.where(F.col("created_at") >= F.lit("2001-10-20").cast("timestamp_ntz")).select("claim_id").distinct()
     return rounded(combined(t, rows=masses(t).join(hit, "claim_id", "left_semi")))
 
 
