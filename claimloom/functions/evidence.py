@@ -20,6 +20,11 @@ def unit(x: Column) -> Column:
     return F.when(F.isnan(x) | (x <= 0), F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(x)
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """x onto [low, high]; null stays null, which greatest and least would lose."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 # -- binary frame -------------------------------------------------------------------------
 
 
@@ -227,7 +232,7 @@ def error_mass(effect: Column, random: Column, systematic: Column, scope: Column
 def bayes(prior: Column, if_true: Column, if_false: Column, low: float = 0.01, high: float = 0.99) -> Column:
     """Posterior, held within [low, high]; null where the evidence is all but impossible."""
     p = if_true * prior + if_false * (1 - prior)
-    return F.when(p >= 2.220446049250313e-16, F.greatest(F.least(if_true * prior / p, F.lit(high)), F.lit(low)))
+    return F.when(p >= 2.220446049250313e-16, clip(if_true * prior / p, low, high))
 
 
 def bayes_step(prior: Column, strength: Column, supports: Column) -> Column:
@@ -265,7 +270,7 @@ def uncertainty(text: Column) -> Column:
         return F.regexp_extract(text, pattern, i).cast("double")
 
     def held(x: Column) -> Column:
-        return F.greatest(F.least(x, F.lit(0.99)), F.lit(0.01))
+        return clip(x, 0.01, 0.99)
 
     def relative(pattern: str) -> Column:
         return F.when(get(pattern) != 0, held(F.abs(get(pattern, 2) / get(pattern))))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.evidence import TINY, binary
+from ..functions.evidence import TINY, binary, clip
 
 Mass = dict[tuple[int, bool], float]
 
@@ -195,7 +195,7 @@ def alternative_set(bel: Column, pl: Column) -> Column:
 
 def effective_strength(evidence_type: Column, locality: Column, source_strength: Column, weight: Column, intra: Column) -> Column:
     """Reliability of a stored mass: calibrated weight with locality, else what was stored, else a half."""
-    stored = F.greatest(F.least(source_strength, F.lit(1.0)), F.lit(0.0))
+    stored = clip(source_strength, 0.0, 1.0)
     local = F.when(locality.startswith("intra"), intra).otherwise(F.lit(1.0))
-    calibrated = F.greatest(F.least(weight * local, F.lit(1.0)), F.lit(0.0))
+    calibrated = clip(weight * local, 0.0, 1.0)
     return F.when(evidence_type.isNull(), F.coalesce(stored, F.lit(0.5))).otherwise(F.coalesce(calibrated, stored, F.lit(0.5)))

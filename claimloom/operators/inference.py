@@ -35,7 +35,7 @@ def message(kind: Column, strength: Column, other: Column, own: Column, towards_
 
 
 def _held(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(0.99)), F.lit(0.01))
+    return E.clip(x, 0.01, 0.99)
 
 
 def _mean(x: Column) -> Column:
