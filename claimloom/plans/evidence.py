@@ -12,6 +12,8 @@ from ..sources.tables import Tables
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
+#: Added before rounding where exact halves are common, as two engines may sum to either side of them.
+TIE = 1e-9
 
 
 def alpha(weights: Column | None = None, intra: float = K.INTRA_LOCALITY) -> Column:
@@ -280,14 +282,14 @@ def belief_divergence(t):
 @plan(f"""WITH b AS ({belief_sql()}), e AS (SELECT source_id, target_id, source_key, relationship, strength, belief AS bel, plausibility AS pl, missing AS ow,
   CASE relationship WHEN 'supports' THEN 8e-1 WHEN 'elaborates' THEN 6e-1 ELSE -9e-1 END AS f FROM edges JOIN b ON source_id = claim_id WHERE NOT (plausibility - belief >= 999e-3 AND belief < 1e-2)),
 r AS (SELECT *, CASE WHEN f > 0 THEN bel * f ELSE (1 - pl) * -f END AS rb, CASE WHEN f > 0 THEN 1 - (1 - pl) * f ELSE 1 - bel * -f END AS rp FROM e)
-SELECT source_id, target_id, source_key, relationship, strength, round(rb, 6) AS m0, round(1 - rp, 6) AS m1, round(greatest(rp - rb - least(ow, rp - rb), 0e0), 6) AS th, round(least(ow, rp - rb), 6) AS ms FROM r""")
+SELECT source_id, target_id, source_key, relationship, strength, round(rb + 1e-9, 6) AS m0, round(1 - rp + 1e-9, 6) AS m1, round(greatest(rp - rb - least(ow, rp - rb), 0e0) + 1e-9, 6) AS th, round(least(ow, rp - rb) + 1e-9, 6) AS ms FROM r""")
 def edge_masses(t):
     """The mass that each edge passes on from its source's interval."""
     b = rounded(combined(t)).select(F.col("claim_id").alias("source_id"), "belief", "plausibility", "missing")
     e = t.edges.join(b, "source_id").where(~((F.col("plausibility") - F.col("belief") >= 0.999) & (F.col("belief") < 0.01)))
     low, high = E.restrict(F.col("belief"), F.col("plausibility"), K.restriction(F.col("relationship")))
     m = E.interval_mass(low, high, F.col("missing"))
-    return e.select("source_id", "target_id", "source_key", "relationship", "strength", *[R6(m[k]).alias(k) for k in ("m0", "m1", "th", "ms")])
+    return e.select("source_id", "target_id", "source_key", "relationship", "strength", *[R6(m[k] + TIE).alias(k) for k in ("m0", "m1", "th", "ms")])
 
 
 @plan("""SELECT claim_id, agent_id, evidence_key, evidence_line, round(m_sup * f, 6) AS m0, round(m_unsup * f, 6) AS m1 FROM (SELECT *, greatest(least(1 - date_diff('day', CAST(created_at AS DATE), DATE '2001-12-31') / 2e3, 1e0), 0e0) AS f FROM bba) z""")

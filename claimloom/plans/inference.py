@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..operators import cluster as C
 from ..operators import inference as I
-from .evidence import belief_sql, combined, masses, rounded
+from .evidence import TIE, belief_sql, combined, masses, rounded
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
@@ -105,10 +105,10 @@ FACTOR_SQL = "CASE relationship WHEN 'supports' THEN 8e-1 WHEN 'elaborates' THEN
 
 
 @plan(f"""WITH e AS (SELECT target_id AS node, {FACTOR_SQL} AS f, truth_value AS s FROM edges JOIN claims ON claim_id = source_id), w AS (SELECT node, avg(CASE WHEN f > 0 THEN s * f ELSE (1 - s) * -f END) AS want, count(*) AS n FROM e GROUP BY 1)
-SELECT claim_id, round(coalesce(want, truth_value), 6) AS expected, round(abs(truth_value - coalesce(want, truth_value)), 6) AS radius, coalesce(n, 0) AS neighbours FROM claims LEFT JOIN w ON node = claim_id""")
+SELECT claim_id, round(coalesce(want, truth_value) + 1e-9, 6) AS expected, round(abs(truth_value - coalesce(want, truth_value)) + 1e-9, 6) AS radius, coalesce(n, 0) AS neighbours FROM claims LEFT JOIN w ON node = claim_id""")
 def sheaf_sections(t):
     got = I.sheaf_sections(t.edges, t.claims.select(F.col("claim_id").alias("node"), F.col("truth_value").alias("betp")))
-    return got.select(F.col("node").alias("claim_id"), R6("expected").alias("expected"), R6("radius").alias("radius"), "neighbours")
+    return got.select(F.col("node").alias("claim_id"), R6(F.col("expected") + TIE).alias("expected"), R6(F.col("radius") + TIE).alias("radius"), "neighbours")
 
 
 EXCESS = f"""SELECT *, greatest(CASE WHEN f > 0 THEN s * f - t ELSE t - (1 - s * -f) END, 0e0) AS x FROM (SELECT e.*, {FACTOR_SQL} AS f, a.truth_value AS s, b.truth_value AS t FROM edges e JOIN claims a ON a.claim_id = source_id JOIN claims b ON b.claim_id = target_id) z"""
@@ -128,11 +128,11 @@ def sheaf_obstructions(t):
 
 @plan(f"""WITH b AS ({belief_sql()}), e AS (SELECT target_id AS node, {FACTOR_SQL} AS f, belief AS bel, plausibility AS pl, missing AS ow FROM edges JOIN b ON claim_id = source_id),
 w AS (SELECT node, least(greatest(avg(CASE WHEN f > 0 THEN bel * f ELSE (1 - pl) * -f END), 0e0), 1e0) AS eb, least(greatest(avg(CASE WHEN f > 0 THEN 1 - (1 - pl) * f ELSE 1 - bel * -f END), 0e0), 1e0) AS ep, avg(ow) AS eo, count(*) AS n FROM e GROUP BY 1)
-SELECT claim_id, round(eb, 5) AS expected_bel, round(ep, 5) AS expected_pl, round(eo, 5) AS expected_open, round(greatest(abs(belief - eb), abs(plausibility - ep)), 5) AS distance, n AS neighbours FROM b JOIN w ON node = claim_id""")
+SELECT claim_id, round(eb + 1e-9, 5) AS expected_bel, round(ep + 1e-9, 5) AS expected_pl, round(eo + 1e-9, 5) AS expected_open, round(greatest(abs(belief - eb), abs(plausibility - ep)) + 1e-9, 5) AS distance, n AS neighbours FROM b JOIN w ON node = claim_id""")
 def interval_sections(t):
     iv = rounded(combined(t)).select(F.col("claim_id").alias("node"), F.col("belief").alias("bel"), F.col("plausibility").alias("pl"), F.col("missing").alias("ow"))
     got = I.interval_sections(t.edges, iv)
-    return got.select(F.col("node").alias("claim_id"), F.round("eb", 5).alias("expected_bel"), F.round("ep", 5).alias("expected_pl"), F.round("eo", 5).alias("expected_open"), F.round("distance", 5).alias("distance"), "neighbours")
+    return got.select(F.col("node").alias("claim_id"), *[F.round(F.col(c) + TIE, 5).alias(n) for c, n in (("eb", "expected_bel"), ("ep", "expected_pl"), ("eo", "expected_open"), ("distance", "distance"))], "neighbours")
 
 
 # -- communities and themes ---------------------------------------------------------------------

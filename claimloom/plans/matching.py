@@ -35,7 +35,7 @@ def match_other_sources(t):
 f AS (SELECT p.a, p.b, list_dot_product(va.v, vb.v) / (sqrt(list_dot_product(va.v, va.v)) * sqrt(list_dot_product(vb.v, vb.v))) AS c, len(list_intersect(sa.o, sb.o)) / len(list_distinct(list_concat(sa.o, sb.o))) AS j, 1 - 2 * abs(x.truth_value - y.truth_value) AS al, CASE WHEN x.kind = y.kind THEN 1e0 ELSE 0e0 END AS th
  FROM p JOIN claims x ON x.claim_id = a JOIN claims y ON y.claim_id = b LEFT JOIN v va ON va.vec_id = a LEFT JOIN v vb ON vb.vec_id = b LEFT JOIN s sa ON sa.claim_id = a LEFT JOIN s sb ON sb.claim_id = b),
 g AS (SELECT *, (coalesce(35e-2 * c, 0) + coalesce(1e-1 * j, 0) + 1e-1 * al + 5e-2 * th) / (CASE WHEN c IS NULL THEN 0 ELSE 35e-2 END + CASE WHEN j IS NULL THEN 0 ELSE 1e-1 END + 15e-2) AS s FROM f)
-SELECT a, b, round(s, 5) AS score, CASE WHEN s >= 101e-2 THEN 'high' WHEN s >= 8e-1 THEN 'middle' ELSE 'low' END AS band FROM g""")
+SELECT a, b, round(s + 1e-9, 5) AS score, CASE WHEN s >= 101e-2 THEN 'high' WHEN s >= 8e-1 THEN 'middle' ELSE 'low' END AS band FROM g""")
 def match_scores(t):
     """Candidates with features; those that are missing leave the weights."""
     p = M.overlap(_pairs(t), M.sets(t.triples.where("predicate = 'R'").withColumn("claim_id", F.col("subject_id")), F.col("object_id")), "entity")
@@ -43,7 +43,7 @@ def match_scores(t):
     vec = lambda v: t.vectors.select(F.col("claim_id").alias(v), F.col("vec").alias(f"v_{v}"))
     p = p.join(side("a"), "a").join(side("b"), "b").join(vec("a"), "a", "left").join(vec("b"), "b", "left")
     s = M.score({"embed_cosine": cosine(F.col("v_a"), F.col("v_b")), "entity_jaccard": F.col("entity"), "belief_alignment": 1 - 2 * F.abs(F.col("t_a") - F.col("t_b")), "theme_proximity": (F.col("k_a") == F.col("k_b")).cast("double")})
-    return p.withColumn("s", s).select("a", "b", F.round("s", 5).alias("score"), M.band(F.col("s")).alias("band"))
+    return p.withColumn("s", s).select("a", "b", F.round(F.col("s") + 1e-9, 5).alias("score"), M.band(F.col("s")).alias("band"))
 
 
 @plan("""WITH e AS (SELECT DISTINCT source_id AS c, target_id AS z FROM edges WHERE strength >= 98e-2), d AS (SELECT z, count(*) AS n FROM e GROUP BY 1), p AS (SELECT x.c AS a, y.c AS b, sum(1 / greatest(ln(n), 5e-1)) AS w FROM e x JOIN e y ON x.z = y.z AND x.c < y.c JOIN d ON d.z = x.z GROUP BY 1, 2) SELECT a, b, round((exp(2 * w) - 1) / (exp(2 * w) + 1), 6) AS graph_overlap FROM p""")

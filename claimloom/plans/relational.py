@@ -10,6 +10,7 @@ from ..operators import relational as R
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
+TIE = 1e-9
 L = lambda c: F.col(c).cast("long")
 N = lambda: F.count("*")
 
@@ -101,10 +102,10 @@ def lineage_heads(t):
     return t.dag.select(F.col("source_id").alias("claim_id")).distinct().join(t.dag.select(F.col("target_id").alias("claim_id")), "claim_id", "left_anti")
 
 
-@plan("SELECT n.claim_id, count(*) AS n_edges, round(avg(strength), 6) AS mean_strength FROM (SELECT claim_id FROM claims WHERE brand = 'Brand#13') n JOIN edges e ON e.source_id = n.claim_id OR e.target_id = n.claim_id GROUP BY 1")
+@plan("SELECT n.claim_id, count(*) AS n_edges, round(avg(strength) + 1e-9, 6) AS mean_strength FROM (SELECT claim_id FROM claims WHERE brand = 'Brand#13') n JOIN edges e ON e.source_id = n.claim_id OR e.target_id = n.claim_id GROUP BY 1")
 def edges_of_either_end(t):
     mine = t.claims.where("brand = 'Brand#13'").select(F.col("claim_id").alias("node"))
-    return R.undirected(t.edges, "strength").join(mine, "node").groupBy(F.col("node").alias("claim_id")).agg(N().alias("n_edges"), R6(F.avg("strength")).alias("mean_strength"))
+    return R.undirected(t.edges, "strength").join(mine, "node").groupBy(F.col("node").alias("claim_id")).agg(N().alias("n_edges"), R6(F.avg("strength") + TIE).alias("mean_strength"))
 
 
 @plan("SELECT source_id, target_id, source_key, relationship, CASE relationship WHEN 'supports' THEN 'directional_support' WHEN 'contradicts' THEN 'mutual_exclusion' END AS factor, CASE relationship WHEN 'supports' THEN 7e-1 WHEN 'contradicts' THEN 0e0 END AS forward, CASE relationship WHEN 'supports' THEN 15e-2 WHEN 'contradicts' THEN 0e0 END AS reverse FROM edges WHERE strength >= 99e-2")
