@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("evidence", "relational", "graph", "inference", "retrieval", "matching", "streaming")
+MODULES = ("evidence", "relational", "graph", "inference", "retrieval", "matching", "streaming", "sources")
 
 for _name in MODULES:
     importlib.import_module(f"{__package__}.{_name}")
