@@ -2,12 +2,11 @@
 
 Every line of a file is a block, and so is the whole text of a licence file (by its name).
 A block's vector has tf * idf for the templates' terms, with idf = ln((1 + N) / (1 + df)) + 1 over
-the N templates; each other word is a dimension of its own with the idf of df = 0. Three
-filters come before any join, and none loses a block at the threshold:
+the N templates; each other word is a dimension of its own with the idf of df = 0. Two
+filters come before any join, and neither loses a block at the threshold:
 
-* a template's terms of least weight whose squares sum to less than threshold^2 of its
-  own can't reach the threshold alone, so a block needs one of the others (its anchors);
-* the share of the known terms in a block's length bounds its cosine.
+* the known terms that a block has at all bound its cosine with any template;
+* the share of the known terms in a block's length bounds it too.
 
 What remains is exploded by term and joined with the templates' postings. A file's licence
 is its best block's. A file without one inherits from the nearest directory upwards that has a
@@ -30,6 +29,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # Licence notices as their publishers word them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -68,45 +69,46 @@ def weights(templates) -> tuple[dict[str, float], float, list[dict[str, float]]]
     return idf, math.log(1 + n) + 1, unit
 
 
-def anchors(unit: list[dict[str, float]], threshold: float) -> set[str]:
-    """Terms of which any block at the threshold has one at least."""
-    out: set[str] = set()
+def reach(unit: list[dict[str, float]]) -> dict[str, float]:
+    """For each term the most that it adds to the square of a cosine with any template.
+
+    By Cauchy and Schwarz a block's cosine is at most the root of the squares of the unit
+    template's weights on the terms that the block has.
+    """
+    out: dict[str, float] = {}
     for w in unit:
-        rest = 0.0
-        for t, x in sorted(w.items(), key=lambda p: p[1]):
-            rest += x * x
-            if rest >= threshold * threshold - 1e-9:
-                out.add(t)
+        for t, x in w.items():
+            out[t] = max(out.get(t, 0.0), x * x)
     return out
 
 
-def _tokens(block: Column) -> Column:
-    return F.regexp_extract_all(F.lower(block), F.lit("([a-z0-9]+)"), F.lit(1))
-
-
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
     """path, license, score: the best template of each path that has one at the threshold."""
     spark = files.sparkSession
     idf, unknown, unit = weights(templates)
-    need = "(?i)(?<![a-z0-9])(" + "|".join(sorted(anchors(unit, threshold))) + ")(?![a-z0-9])"
     known = F.array(*[F.lit(t) for t in sorted(idf)])
-    idf_of = F.create_map(*[F.lit(x) for t in sorted(idf) for x in (t, idf[t])])
+    table = lambda d: F.create_map(*[F.lit(x) for t in sorted(d) for x in (t, d[t])])
+    idf_of, reach_of = table(idf), table(reach(unit))
     name = F.element_at(F.split("path", "/"), -1)
     text = F.col("text").cast("string")
     blocks = F.split(text, "\n", -1)
     whole = F.array(F.translate(text, "\n\r", "  "))
     lines = files.where("path is not null and text is not null").select("path", F.posexplode(F.when(name.rlike(LICENSE_FILE), F.concat(blocks, whole)).otherwise(blocks)).alias("line", "block"))
-    found = lines.where(F.col("block").rlike(need)).select("path", "line", _tokens(F.col("block")).alias("words"))
-    # arrays would be computed anew wherever they are used; the row with them is made once
-    terms = F.transform(F.array_intersect("words", known), lambda t: F.struct(t.alias("term"), (F.size(F.filter("words", lambda w: w == t)) * idf_of[t]).alias("weight"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
-    found = found.select("path", "line", F.size("words").alias("n"), terms.alias("terms"))
-    inside = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["weight"] * t["weight"])
+    # a generator of one row each: what it gives is computed once, and no filter on it is pushed below and computes it again
+    lines = lines.select("path", "line", F.explode(F.array(F.split(F.lower("block"), "[^a-z0-9]+"))).alias("words"))
+    lines = lines.select("path", "line", "words", F.explode(F.array(F.array_intersect("words", known))).alias("present"))
+    enough = F.aggregate("present", F.lit(0.0), lambda a, t: a + reach_of[t]) >= threshold * threshold - 1e-9
+    lines = lines.where((F.size("present") > 0) & enough)
+    terms = F.transform("present", lambda t: F.struct(t.alias("term"), F.size(F.filter("words", lambda w: w == t)).alias("tf")))
+    found = lines.select("path", "line", F.size(F.array_remove("words", "")).alias("n"), F.explode(F.array(terms)).alias("terms"))
+    inside = F.aggregate("terms", F.lit(0.0), lambda a, t: a + (t["tf"] * idf_of[t["term"]]) * (t["tf"] * idf_of[t["term"]]))
     outside = (F.col("n") - F.aggregate("terms", F.lit(0), lambda a, t: a + t["tf"])) * F.lit(unknown * unknown)
     found = found.select("path", "line", "terms", inside.alias("inside"), outside.alias("outside"))
     found = found.where(F.col("inside") >= F.lit(threshold * threshold - 1e-9) * (F.col("inside") + F.col("outside")))
-    sparse = found.select("path", "line", F.sqrt(F.col("inside") + F.col("outside")).alias("length"), F.explode("terms").alias("t")).select("path", "line", "length", F.col("t.term").alias("term"), F.col("t.weight").alias("weight"))
-    postings = spark.createDataFrame([(t, i, x) for i, w in enumerate(unit) for t, x in w.items()], "term string, template int, share double")
-    scored = sparse.join(F.broadcast(postings), "term").groupBy("path", "line", "template").agg((F.sum(F.col("weight") * F.col("share")) / F.first("length")).alias("score"))  # as long as the templates
+    sparse = found.select("path", "line", F.sqrt(F.col("inside") + F.col("outside")).alias("length"), F.explode("terms").alias("t"))
+    sparse = sparse.select("path", "line", "length", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
+    postings = spark.createDataFrame([(t, i, x * idf[t]) for i, w in enumerate(unit) for t, x in w.items()], "term string, template int, share double")
+    scored = sparse.join(F.broadcast(postings), "term").groupBy("path", "line", "template").agg((F.sum(F.col("tf") * F.col("share")) / F.first("length")).alias("score"))  # as long as the templates
     scored = scored.select("path", F.struct(F.round("score", 6).alias("score"), (-F.col("template")).alias("order")).alias("best")).where(F.col("best.score") >= threshold)
     names = F.array(*[F.lit(k) for k, _ in templates])
     best = scored.groupBy("path").agg(F.max("best").alias("best"))
@@ -133,7 +135,7 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
 
 def licenses(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
     """Each file (id, path) with its own, its directory's and its effective licence."""
-    own = scan(files, templates, threshold)
+    own = stored(scan(files, templates, threshold), "licenses")  # used twice, scanned once
     above = inherit(files, own)
     rows = files.select("id", "path", parent(F.col("path")).alias("dir"))
     rows = rows.join(own.withColumnsRenamed({"license": "own_license", "score": "own_score"}), "path", "left").join(above, "dir", "left")
