@@ -94,18 +94,24 @@ def rule(k: Column, open_world: Column) -> Column:
     return F.when(k < 0.1, "dempster").when(k < 0.5, "conjunctive").when(open_world > 0.03, "yager_open").otherwise("inagaki")
 
 
+def _bound(x: Column, body) -> Column:
+    """``body`` of a value that is computed once: higher-order functions share no subexpressions."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def adaptive_step(a: Column, b: Column) -> Column:
     """One step of the fold over a claim's masses. Open-world conflict goes to the missing mass."""
-    m, k = conjunctive(a, b), conflict(a, b)
-    rest = m["m0"] + m["m1"] + m["th"] + m["ms"]
-    by = F.when(rest > TINY, 1 + 0.5 * k / rest).otherwise(F.lit(1.0))
-    lost = F.when(rest < TINY, 0.5 * k).otherwise(F.lit(0.0))
-    return (
-        F.when(k < 0.1, _scaled(m, 1 / (1 - k)))
-        .when(k < 0.5, m)
-        .when(a["ms"] > 0.03, _scaled(m, F.lit(1.0), m["ms"] + k))
-        .otherwise(_scaled(m, by, m["ms"] * by + 0.5 * k + lost))
-    )
+
+    def chosen(x: Column) -> Column:
+        m, k, rest = x["m"], x["m"]["cf"], x["rest"]
+        low = F.when(rest < TINY, 0.5 * k).otherwise(F.lit(0.0))
+        by = F.when(k < 0.1, 1 / (1 - k)).when((k < 0.5) | (x["open"] > 0.03) | (rest <= TINY), F.lit(1.0)).otherwise(1 + 0.5 * k / rest)
+        kept = F.when((k >= 0.1) & (k < 0.5), k).otherwise(F.lit(0.0))
+        lost = F.when(k < 0.5, F.lit(0.0)).when(x["open"] > 0.03, k).otherwise(0.5 * k + low)
+        return _bound(by, lambda by: binary(m["m0"] * by, m["m1"] * by, m["th"] * by, kept, m["ms"] * by + lost))
+
+    m = conjunctive(a, b)
+    return _bound(m, lambda m: _bound(F.struct(m.alias("m"), (m["m0"] + m["m1"] + m["th"] + m["ms"]).alias("rest"), a["ms"].alias("open")), chosen))
 
 
 def canonical(m: Column) -> Column:
