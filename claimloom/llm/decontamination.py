@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .textblocks import flat, slices
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 3 << 20
 BLOCK_BYTES = 16 << 20
 #: A table of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -62,7 +62,8 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begin[starts_text] = inside[starts_text]
     at = np.flatnonzero(begin)
     packed = np.frombuffer(low, np.uint8)[inside]
-    offsets = np.append(np.cumsum(inside, dtype=np.int64)[at] - 1, len(packed))
+    count = np.cumsum(inside, dtype=np.int32 if len(raw) < 2**31 else np.int64)
+    offsets = np.append(count[at] - 1, len(packed)).astype(np.int64)
     found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
     return found, np.diff(np.searchsorted(at, bounds, side="left"))
 

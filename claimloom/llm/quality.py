@@ -56,8 +56,9 @@ for _b in range(256):
 
 def _sums(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``mask`` between the bounds ``at``."""
-    upto = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-    return np.diff(upto[at])
+    upto = np.zeros(len(mask) + 1, np.int32 if len(mask) < 2**31 else np.int64)
+    np.cumsum(mask, out=upto[1:])
+    return np.diff(upto[at]).astype(np.int64)
 
 
 def measures(texts: pa.Array) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,6 +25,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES)
         end = max(at + 1, int(np.searchsorted(total, before + step, side="right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

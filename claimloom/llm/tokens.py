@@ -24,7 +24,7 @@ from .textblocks import flat, ragged
 #: The pre-tokeniser's pattern for which words can be told apart bytewise (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 SPACE, LETTER, DIGIT, MARK = range(4)
 #: Class of each byte in a plain run; 0x80-0xBF and 0xC3 make up the letters U+00C0-U+00FF.
