@@ -8,14 +8,16 @@ an item. So the packing on the driver has a bounded number of items whatever the
 Best-fit-decreasing: items by falling size, each into the bin with the least remaining
 capacity that still holds it, found in a balanced search tree (a treap on remaining capacity).
 For a fixed capacity this gives the number of shards; for a fixed number of shards the
-smallest capacity that needs no more is found by bisection.
+smallest capacity that needs no more is found by bisection, after each item above the even
+part has got a shard of its own.
 
 Slots count from 0 within a shard without a gap: rows are numbered within chunks of a
 shard, and chunks get the sum of those before them, so no task holds a shard.
 
 Defined results: a null text has size 8, checksum 0, and belongs to the group of empty texts;
 repeated rows get slots of their own; a null ``doc_id`` is kept; extra columns take no
-part; no rows give no rows; a group above a shard's even part fills a shard of its own.
+part; no rows give no rows; a group above the even part of what larger groups
+leave has a shard of its own, and the others share the other shards evenly.
 """
 
 from __future__ import annotations
@@ -99,22 +101,36 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None =
 
 
 def least_capacity(sizes: Sequence[int], shards: int) -> list[int]:
-    """Bins 0..shards - 1 at the smallest capacity that bisection finds enough."""
+    """Bins 0..shards - 1 at the smallest capacity that bisection finds enough.
+
+    An item above the even part of what is left has a bin of its own, largest first; the
+    others share the rest of the bins at a capacity of their own.
+    """
     if not sizes:
         return []
-    low = max(max(sizes), -(-sum(sizes) // shards))
-    best, high = best_fit_decreasing(sizes, low, shards), low
+    order, out = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [0] * len(sizes)
+    total, alone = sum(sizes), 0
+    while sizes[order[alone]] * (shards - alone) > total:
+        out[order[alone]] = alone
+        total, alone = total - sizes[order[alone]], alone + 1
+        if alone == len(order):
+            return out
+    rest, left = [sizes[i] for i in order[alone:]], shards - alone
+    low = max(rest[0], -(-total // left))
+    best, high = best_fit_decreasing(rest, low, left), low
     while best is None:
         high = high + max(1, high // 64)
-        best = best_fit_decreasing(sizes, high, shards)
+        best = best_fit_decreasing(rest, high, left)
     while low < high:
         mid = (low + high) // 2
-        found = best_fit_decreasing(sizes, mid, shards)
+        found = best_fit_decreasing(rest, mid, left)
         if found is None:
             low = mid + 1
         else:
             best, high = found, mid
-    return best
+    for i, b in zip(order[alone:], best, strict=True):
+        out[i] = alone + b
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 24, capacity: int | None = None, overhead: int = 8) -> DataFrame:

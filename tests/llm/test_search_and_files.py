@@ -133,6 +133,30 @@ def test_fixed_capacity(spark, documents):
     assert max(got.values()) <= 100_000 and len(got) <= 1.1 * sum(got.values()) / 100_000 + 1
 
 
+def test_a_group_of_a_third_leaves_the_other_shards_even(spark):
+    rows = [(i, "same " * 20) for i in range(3600)] + [(3600 + i, f"{i} " + "word " * (5 + i % 60)) for i in range(4000)]
+    load, where = Counter(), set()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        load[r["shard"]] += r["size"]
+        if r["doc_id"] < 3600:
+            where.add(r["shard"])
+    (own,) = where
+    others = [load[b] for b in range(24) if b != own]
+    assert load[own] == 3600 * 108 > sum(load.values()) / 3
+    even = sum(others) / 23
+    assert 0.9 * even <= min(others) and max(others) <= 1.05 * even
+
+
+def test_least_capacity_sets_large_items_apart():
+    sizes = [5000, 900, *[1] * 220]
+    bins = sharding.least_capacity(sizes, 24)
+    load = Counter()
+    for s, b in zip(sizes, bins, strict=True):
+        load[b] += s
+    assert sorted(load.values()) == [10] * 22 + [900, 5000]
+    assert sorted(sharding.least_capacity([9, 5, 2], 24)) == [0, 1, 2]
+
+
 def test_best_fit_against_a_list():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 60, 500).tolist()
