@@ -1,14 +1,24 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along paths.
 
-Every line of a file is a block, and so is the whole text of a licence file (by its name).
+Three sets of templates, each with an idf of its own, and SPDX tags:
+
+* one-line notices (TEMPLATES) against every line of a file, and against the whole text of a
+  licence file (by its name);
+* titles and standard headers (HEADERS) against every paragraph: lines between lines without
+  a letter or digit, so comment signs take no part;
+* full texts (``license_texts``, one file a licence) against the whole text of a licence file;
+* ``SPDX-License-Identifier:`` counts as 1; its first identifier is taken, without -only,
+  -or-later or +.
+
 A block's vector has tf * idf for the templates' terms, with idf = ln((1 + N) / (1 + df)) + 1 over
-the N templates; each other word is a dimension of its own with the idf of df = 0. Two
+the N templates; each other word is a dimension of its own with the idf of df = 0. For lines two
 filters come before any join, and neither loses a block at the threshold:
 
 * the known terms that a block has at all bound its cosine with any template;
 * the share of the known terms in a block's length bounds it too.
 
-What remains is exploded by term and joined with the templates' postings. A file's licence
+What remains is exploded by term and joined with the templates' postings. Paragraphs and full
+texts have too many terms for that: their known words are exploded and counted by hash. A file's licence
 is its best block's. A file without one inherits from the nearest directory upwards that has a
 licence file with a licence: directories are exploded into their ancestors and joined.
 
@@ -16,7 +26,8 @@ All of it is DataFrame expressions.
 
 Defined results: null and empty texts have no licence of their own; a null path inherits
 nothing; rows of one path are one file, and its licence is that of the best block of any of
-them; ties go to the template that is named first, then to the smaller file name; extra
+them; ties go to notices, headers, full texts and SPDX tags in this order,
+then to the template that is named first, then to the smaller file name; extra
 columns take no part; no rows give no rows.
 """
 
@@ -25,6 +36,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +61,52 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_GNU = "This program is free software{c} you can redistribute it and/or modify it under the terms of the GNU {k} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {k} 4.0 International License."
+# Titles and first paragraphs of standard headers.
+HEADERS = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", _GNU.format(c=":", k="General Public License", v="3")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", _GNU.format(c=";", k="General Public License", v="2")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.replace("program", "library").format(c=":", k="Lesser General Public License", v="3")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", _GNU.replace("program", "library").format(c=";", k="Lesser General Public License", v="2.1")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", _GNU.format(c=":", k="Affero General Public License", v="3")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-4.0", _CC.format(k="Attribution")),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-SA-4.0", _CC.format(k="Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-4.0", _CC.format(k="Attribution-NonCommercial")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9][A-Za-z0-9.-]*)"
+#: Ranks of the sets for ties: HEADERS, full texts and SPDX tags come after all notices.
+HEADER_RANK, BODY_RANK, SPDX_RANK = 1000, 2000, 3000
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)(\.(txt|md|rst))?$"
 
 
+@cache
+def bodies() -> tuple[tuple[str, str], ...]:
+    """Identifier and full text of each file of ``license_texts``."""
+    return tuple((p.name.removesuffix(".txt"), p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -82,18 +138,33 @@ def reach(unit: list[dict[str, float]]) -> dict[str, float]:
     return out
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
-    """path, license, score: the best template of each path that has one at the threshold."""
-    spark = files.sparkSession
+def _named(path: str = "path") -> Column:
+    return F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    return files.where("path is not null and text is not null").select("path", F.col("text").cast("string").alias("text"))
+
+
+def _candidates(scored: DataFrame, templates, threshold: float, rank: int = 0) -> DataFrame:
+    """path, score, rank, license of the scores (path, template, score) at the threshold."""
+    names = F.array(*[F.lit(k) for k, _ in templates])
+    scored = scored.select("path", "template", F.round("score", 6).alias("score")).where(F.col("score") >= threshold)
+    return scored.select("path", "score", (F.col("template") + rank).alias("rank"), F.element_at(names, F.col("template") + 1).alias("license"))
+
+
+def _best(candidates: DataFrame) -> DataFrame:
+    best = candidates.groupBy("path").agg(F.max_by("license", F.struct("score", -F.col("rank"))).alias("license"), F.max("score").alias("score"))
+    return best.select("path", "license", "score")
+
+
+def _blocks_scored(lines: DataFrame, templates, threshold: float) -> DataFrame:
+    """path, template, score of the blocks (path, line, block) that can reach the threshold."""
+    spark = lines.sparkSession
     idf, unknown, unit = weights(templates)
     known = F.array(*[F.lit(t) for t in sorted(idf)])
     table = lambda d: F.create_map(*[F.lit(x) for t in sorted(d) for x in (t, d[t])])
     idf_of, reach_of = table(idf), table(reach(unit))
-    name = F.element_at(F.split("path", "/"), -1)
-    text = F.col("text").cast("string")
-    blocks = F.split(text, "\n", -1)
-    whole = F.array(F.translate(text, "\n\r", "  "))
-    lines = files.where("path is not null and text is not null").select("path", F.posexplode(F.when(name.rlike(LICENSE_FILE), F.concat(blocks, whole)).otherwise(blocks)).alias("line", "block"))
     # a generator of one row each: what it gives is computed once, and no filter on it is pushed below and computes it again
     lines = lines.select("path", "line", F.explode(F.array(F.split(F.lower("block"), "[^a-z0-9]+"))).alias("words"))
     lines = lines.select("path", "line", "words", F.explode(F.array(F.array_intersect("words", known))).alias("present"))
@@ -108,11 +179,59 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataF
     sparse = found.select("path", "line", F.sqrt(F.col("inside") + F.col("outside")).alias("length"), F.explode("terms").alias("t"))
     sparse = sparse.select("path", "line", "length", F.col("t.term").alias("term"), F.col("t.tf").alias("tf"))
     postings = spark.createDataFrame([(t, i, x * idf[t]) for i, w in enumerate(unit) for t, x in w.items()], "term string, template int, share double")
-    scored = sparse.join(F.broadcast(postings), "term").groupBy("path", "line", "template").agg((F.sum(F.col("tf") * F.col("share")) / F.first("length")).alias("score"))  # as long as the templates
-    scored = scored.select("path", F.struct(F.round("score", 6).alias("score"), (-F.col("template")).alias("order")).alias("best")).where(F.col("best.score") >= threshold)
-    names = F.array(*[F.lit(k) for k, _ in templates])
-    best = scored.groupBy("path").agg(F.max("best").alias("best"))
-    return best.select("path", F.element_at(names, 1 - F.col("best.order")).alias("license"), F.col("best.score").alias("score"))
+    return sparse.join(F.broadcast(postings), "term").groupBy("path", "line", "template").agg((F.sum(F.col("tf") * F.col("share")) / F.first("length")).alias("score"))  # as long as the templates
+
+
+def _notices(files: DataFrame, templates, threshold: float) -> DataFrame:
+    blocks = F.split("text", "\n", -1)
+    whole = F.array(F.translate("text", "\n\r", "  "))
+    lines = _texts(files).select("path", F.monotonically_increasing_id().alias("of"), F.posexplode(F.when(_named(), F.concat(blocks, whole)).otherwise(blocks)).alias("nth", "block"))
+    lines = lines.select("path", F.struct("of", "nth").alias("line"), "block")
+    return _candidates(_blocks_scored(lines, templates, threshold), templates, threshold)
+
+
+def _counted(blocks: DataFrame, templates) -> DataFrame:
+    """path, template, score of long blocks (path, line, block): one row a known word, counted by hash."""
+    idf, unknown, unit = weights(templates)
+    shares = [(t, idf[t], [w.get(t, 0.0) * idf[t] for w in unit]) for t in sorted(idf)]
+    postings = blocks.sparkSession.createDataFrame(shares, "term string, idf double, shares array<double>")
+    split = blocks.select("path", "line", F.explode(F.array(F.array_remove(F.split(F.lower("block"), "[^a-z0-9]+"), ""))).alias("words"))
+    each = split.select("path", "line", F.size("words").alias("n"), F.explode(F.filter("words", lambda w: w.isin(sorted(idf)))).alias("term"))
+    counts = each.groupBy("path", "line", "n", "term").agg(F.count("*").alias("tf")).join(F.broadcast(postings), "term")
+    dots = [F.sum(F.col("tf") * F.col("shares")[i]).alias(f"dot{i}") for i in range(len(unit))]
+    sums = counts.groupBy("path", "line", "n").agg(F.sum((F.col("tf") * F.col("idf")) ** 2).alias("inside"), F.sum("tf").alias("inner"), *dots)
+    length = F.sqrt(F.col("inside") + (F.col("n") - F.col("inner")) * F.lit(unknown * unknown))
+    return sums.select("path", F.posexplode(F.array(*[F.col(f"dot{i}") / length for i in range(len(unit))])).alias("template", "score"))
+
+
+def _headers(files: DataFrame, threshold: float) -> DataFrame:
+    texts = _texts(files).select("path", F.monotonically_increasing_id().alias("of"), F.posexplode(F.split("text", r"\n[^a-zA-Z0-9\n]*\n", -1)).alias("nth", "block"))
+    return _candidates(_counted(texts.select("path", F.struct("of", "nth").alias("line"), "block"), HEADERS), HEADERS, threshold, HEADER_RANK)
+
+
+def _bodies(files: DataFrame, threshold: float) -> DataFrame:
+    """Whole licence files against the full texts."""
+    texts = _texts(files).where(_named()).select("path", F.monotonically_increasing_id().alias("line"), F.col("text").alias("block"))
+    return _candidates(_counted(texts, bodies()), bodies(), threshold, BODY_RANK)
+
+
+def _tags(files: DataFrame) -> DataFrame:
+    """SPDX tags; identifiers of no template stand for themselves."""
+    ids = {n.lower(): n for n, _ in (*TEMPLATES, *HEADERS, *bodies())}
+    known = F.create_map(*[F.lit(x) for k in sorted(ids) for x in (k, ids[k])])
+    found = _texts(files).where(F.col("text").contains("SPDX-License-Identifier:")).select("path", F.explode(F.regexp_extract_all("text", F.lit(SPDX), 1)).alias("tag"))
+    tag = F.regexp_replace("tag", r"(-only|-or-later|\.+)$", "")
+    return found.select("path", F.lit(1.0).alias("score"), F.lit(SPDX_RANK).alias("rank"), F.coalesce(known[F.lower(tag)], tag).alias("license"))
+
+
+def scan(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
+    """path, license, score: the best notice of each path that has one at the threshold."""
+    return _best(_notices(files, templates, threshold))
+
+
+def scan_all(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
+    """path, license, score: the best of notices, headers, full texts and SPDX tags."""
+    return _best(_notices(files, templates, threshold).unionByName(_headers(files, threshold)).unionByName(_bodies(files, threshold)).unionByName(_tags(files)))
 
 
 def parent(path: Column) -> Column:
@@ -135,7 +254,7 @@ def inherit(files: DataFrame, own: DataFrame) -> DataFrame:
 
 def licenses(files: DataFrame, templates=TEMPLATES, threshold: float = 0.7) -> DataFrame:
     """Each file (id, path) with its own, its directory's and its effective licence."""
-    own = stored(scan(files, templates, threshold), "licenses")  # used twice, scanned once
+    own = stored(scan_all(files, templates, threshold), "licenses")  # used twice, scanned once
     above = inherit(files, own)
     rows = files.select("id", "path", parent(F.col("path")).alias("dir"))
     rows = rows.join(own.withColumnsRenamed({"license": "own_license", "score": "own_score"}), "path", "left").join(above, "dir", "left")

@@ -103,3 +103,28 @@ def test_filters_lose_no_block(spark):
     got = {r["path"]: (r["license"], r["score"]) for r in licenses.scan(spark.createDataFrame(lines, "id long, path string, text string")).collect()}
     assert got.keys() == want.keys() and 50 < len(got) < 300
     assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=2e-6) for p in got)
+
+
+def test_full_texts_headers_and_tags(spark):
+    """Licence files, commented headers and SPDX tags, none of them a one-line notice."""
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    texts = dict(licenses.bodies())
+    body = "\n\n".join(texts["MIT"].strip().split("\n\n")[-3:])  # without title and copyright
+    comment = lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\nint main() { return 0; }"
+    rows = [(f"{k}/LICENSE", t, k) for k, t in texts.items()] + [
+        ("body/COPYING", body, "MIT"),
+        ("src/mit.c", comment("Copyright (c) 2020 Someone Else\n\n" + body), "MIT"),
+        ("src/gpl3.c", comment("Frob the widgets.\n\n" + gnu.format("General Public License", "3")), "GPL-3.0"),
+        ("src/gpl2.c", comment(gnu.format("General Public License", "2")), "GPL-2.0"),
+        ("src/agpl.c", comment(gnu.format("Affero General Public License", "3")), "AGPL-3.0"),
+        ("agpl/LICENSE", texts["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1).replace("29 June", "19 November", 1).replace("GNU General Public License as published", "GNU Affero General Public License as published"), "AGPL-3.0"),
+        ("src/apache.py", "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os", "Apache-2.0"),
+        ("src/tag.rs", "// SPDX-License-Identifier: GPL-2.0-or-later\nfn main() {}", "GPL-2.0"),
+        ("src/tags.rs", "// SPDX-License-Identifier: (Zlib OR MIT)\nfn main() {}", "Zlib"),
+        *[("src/twice.c", comment("Copyright (c) 2021 Someone\n\n" + body), "MIT")] * 3,
+        ("plain/x.txt", "A paragraph of prose about the public, a license and\nthe terms of a conversation.\n\nAnother one.", None),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "id long, path string, text string")
+    got = {r["path"]: r["own_license"] for r in licenses.licenses(files).collect()}
+    assert got == {p: k for p, _, k in rows}
+    assert len(texts) == 13
