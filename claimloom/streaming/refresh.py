@@ -11,15 +11,21 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..session import is_folder
 
 
-def read_events(spark: SparkSession, path: str, schema, *, files_per_trigger: int = 16) -> DataFrame:
-    """A file stream of events; each appears once for its id and time within a day's lateness."""
+def read_events(spark: SparkSession, path: str, schema, *, files_per_trigger: int = 16, lateness: str | None = None) -> DataFrame:
+    """A file stream of events; each appears once for its id.
+
+    Without ``lateness`` no event is late, whatever the order of the files, and the state has
+    every id. With it the state is bounded, and events behind the watermark are dropped.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if not is_folder(spark, path):  # one file: the stream watches its folder for that name
         folder, _, name = path.rpartition("/")
         reader, path = reader.option("pathGlobFilter", name), folder
     raw = reader.parquet(path)
     timed = raw.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    if lateness is None:
+        return timed.dropDuplicates(["event_id"])
+    return timed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def refresh(events: DataFrame, recompute: Callable[[DataFrame, int], None], checkpoint: str, *, key: str = "user_id") -> StreamingQuery:

@@ -183,3 +183,22 @@ def test_strength_of_unknown_types(spark):
     df = spark.createDataFrame(rows, "t string, l string, s double, w double")
     got = [r[0] for r in df.select(combine.effective_strength(F.col("t"), F.col("l"), F.col("s"), F.col("w"), F.lit(0.3))).collect()]
     assert got == [1.0, pytest.approx(0.3), 0.2, 0.5, 0.7, 0.5]
+
+
+def test_stream_of_files_in_no_order_refreshes_every_user(spark, tmp_path):
+    """40 files, the newest first: more than one micro-batch, and no row is late."""
+    import os
+    import shutil
+
+    import __spark_entry__ as entry
+
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(40):
+        day = f"{tmp_path}/day{k}"
+        spark.sql(f"SELECT CAST({k} AS BIGINT) AS event_id, timestamp_ntz'2024-02-20' - make_dt_interval({k}) AS ts, CAST({k} AS BIGINT) AS user_id, 'x' AS event_type, CAST({k} AS DOUBLE) AS value").coalesce(1).write.parquet(day)
+        (part,) = [f for f in os.listdir(day) if f.endswith(".parquet")]
+        to = tmp_path / "events.parquet" / f"part-{k:02}.parquet"
+        shutil.copy(f"{day}/{part}", to)
+        os.utime(to, (1_700_000_000 + k, 1_700_000_000 + k))
+    got = {r["user_id"]: (r["n"], r["mean_value"]) for r in entry.queries()["stream_refresh"](spark, str(tmp_path)).collect()}
+    assert got == {k: (1, float(k)) for k in range(40)}
