@@ -68,19 +68,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
 def word_hashes(dictionary: pa.Array) -> np.ndarray:
@@ -88,7 +83,7 @@ def word_hashes(dictionary: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(dictionary.buffers()[1], np.int64)[dictionary.offset : dictionary.offset + len(dictionary) + 1]
     raw = np.frombuffer(dictionary.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    up, down = _power(len(raw) + 1)
+    up, down = _powers(_BASE, len(raw) + 1), _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
     value = (sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]
     return _mixed(value + np.diff(offsets).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

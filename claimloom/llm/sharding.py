@@ -1,38 +1,37 @@
 """Shards of near-equal bytes by best-fit-decreasing packing of indivisible groups.
 
-Documents of equal text form a group that stays together. Groups above
-1 / (shards * FINE) of all bytes are items of their own; there can be no more than
-shards * FINE of them. The rest falls into shards * FINE hash buckets of whole groups, each
-an item. So the packing on the driver has a bounded number of items whatever the corpus.
+Documents of equal text form a group that stays together. Only sizes matter for the packing, so
+it runs on the histogram of group sizes: D different sizes take at least D^2 / 2 bytes of text, so
+it has at most the root of twice the corpus, whatever the number of groups. Groups of
+one size are dealt to the bins of their size by rank.
 
-Best-fit-decreasing: items by falling size, each into the bin with the least remaining
+Best-fit-decreasing: groups by falling size, each into the bin with the least remaining
 capacity that still holds it, found in a balanced search tree (a treap on remaining capacity).
 For a fixed capacity this gives the number of shards; for a fixed number of shards the
-smallest capacity that needs no more is found by bisection, after each item above the even
+smallest capacity that needs no more is found by bisection, after each group above the even
 part has got a shard of its own.
 
-Slots count from 0 within a shard without a gap: rows are numbered within chunks of a
-shard, and chunks get the sum of those before them, so no task holds a shard.
+Slots count from 0 within a shard without a gap: rows are numbered within chunks of the
+written table, and chunks get the sum of those before them, so no task holds a shard, and
+repeated rows are spread like any others. The rows of a hot text stay where they are (``join_split``).
 
 Defined results: a null text has size 8, checksum 0, and belongs to the group of empty texts;
 repeated rows get slots of their own; a null ``doc_id`` is kept; extra columns take no
 part; no rows give no rows; a group above the even part of what larger groups
-leave has a shard of its own, and the others share the other shards evenly.
+leave, or above a fixed capacity, has a shard of its own, and the others share the other shards evenly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .skew import BROADCAST_BYTES, join_split, numbered, placed
 
-#: Items of a shard, about; the unevenness is a fraction of 1 / FINE.
-FINE = 256
-#: Rows of a chunk of a shard, about, and the fewest chunks.
-CHUNK_ROWS, LEAST_CHUNKS = 5_000, 16
+#: Bisection stops at this part of the capacity.
+EVEN = 1 << 16
 
 
 class Treap:
@@ -84,53 +83,65 @@ class Treap:
         return found
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item; None if ``most`` bins are not enough. Ties: the lower index first."""
-    if any(s > capacity for s in sizes):
-        raise ValueError("an item is larger than a shard")
-    tree, out, used = Treap(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            if used == most:
-                return None
-            found, used = (capacity, used), used + 1
-        out[i] = found[1]
-        tree.add(found[0] - sizes[i], found[1])
+Run = tuple[int, int, int]  # size, bin, and how many groups of that size in a row go there
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int, most: int | None = None) -> list[Run] | None:
+    """The bins of counts[size] items of each size, in runs; None if ``most`` bins are not enough.
+
+    Item by item the tightest bin that holds one item of a size stays the tightest until it is
+    too full for another, so a run is placed at once with the same result. Items above the
+    capacity get a bin each.
+    """
+    tree, out, used = Treap(), [], 0
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                if used == most:
+                    return None
+                found, used = (capacity, used), used + 1
+            n = min(left, max(1, found[0] // size)) if size else left
+            out.append((size, found[1], n))
+            if found[0] > n * size or not size:
+                tree.add(found[0] - n * size, found[1])
+            left -= n
     return out
 
 
-def least_capacity(sizes: Sequence[int], shards: int) -> list[int]:
-    """Bins 0..shards - 1 at the smallest capacity that bisection finds enough.
+def least_capacity(counts: dict[int, int], shards: int) -> list[Run]:
+    """Bins 0..shards - 1 at a capacity that is enough and, to 1 / EVEN of it, the least that bisection finds.
 
     An item above the even part of what is left has a bin of its own, largest first; the
     others share the rest of the bins at a capacity of their own.
     """
-    if not sizes:
-        return []
-    order, out = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [0] * len(sizes)
-    total, alone = sum(sizes), 0
-    while sizes[order[alone]] * (shards - alone) > total:
-        out[order[alone]] = alone
-        total, alone = total - sizes[order[alone]], alone + 1
-        if alone == len(order):
-            return out
-    rest, left = [sizes[i] for i in order[alone:]], shards - alone
-    low = max(rest[0], -(-total // left))
-    best, high = best_fit_decreasing(rest, low, left), low
+    counts = {s: n for s, n in counts.items() if n}
+    total, alone, out = sum(s * n for s, n in counts.items()), 0, []
+    for size in sorted(counts, reverse=True):
+        while counts[size] and size * (shards - alone) > total:
+            out.append((size, alone, 1))
+            counts[size], total, alone = counts[size] - 1, total - size, alone + 1
+        if counts[size]:
+            break
+    counts = {s: n for s, n in counts.items() if n}
+    if not counts:
+        return out
+    left = shards - alone
+    low = max(max(counts), -(-total // left))
+    step = max(1, low // EVEN)
+    high, gap, best = low, step, best_fit_decreasing(counts, low, left)
     while best is None:
-        high = high + max(1, high // 64)
-        best = best_fit_decreasing(rest, high, left)
-    while low < high:
+        low, high, gap = high, high + gap, 2 * gap
+        best = best_fit_decreasing(counts, high, left)
+    while high - low > step:
         mid = (low + high) // 2
-        found = best_fit_decreasing(rest, mid, left)
+        found = best_fit_decreasing(counts, mid, left)
         if found is None:
-            low = mid + 1
+            low = mid
         else:
             best, high = found, mid
-    for i, b in zip(order[alone:], best, strict=True):
-        out[i] = alone + b
-    return out
+    return out + [(s, alone + b, n) for s, b, n in best]
 
 
 def shard(docs: DataFrame, shards: int = 24, capacity: int | None = None, overhead: int = 8) -> DataFrame:
@@ -144,26 +155,23 @@ def shard(docs: DataFrame, shards: int = 24, capacity: int | None = None, overhe
         F.unhex(F.md5(text)).alias("key"),
     )
     sized = stored(sized, "sized")
-    total = sized.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    n_buckets = max(1, shards if capacity is None else -(-(total["bytes"] or 0) // capacity)) * FINE
-    limit = (total["bytes"] or 0) // n_buckets
-    bucket = F.pmod(F.xxhash64("key"), F.lit(n_buckets))
-    groups = sized.groupBy("key").agg(F.sum("size").alias("size"))
-    large = F.col("size") > limit
-    items = groups.groupBy(F.when(large, F.col("key")).alias("key"), F.when(~large, bucket).alias("bucket")).agg(F.sum("size").alias("size"))
-    held = sorted(((r["key"] or b"", -1 if r["bucket"] is None else r["bucket"], r["size"]) for r in items.collect()), key=lambda x: (x[1], bytes(x[0])))  # 2 * n_buckets at most
-    sizes = [s for *_, s in held]
-    bins = least_capacity(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity) or []
-    of_key = [(bytes(k), b) for (k, n, _), b in zip(held, bins, strict=True) if n < 0]
-    of_bucket = [(n, b) for (_, n, _), b in zip(held, bins, strict=True) if n >= 0]
-    keys = spark.createDataFrame(of_key, "key binary, own_shard int")
-    buckets = spark.createDataFrame(of_bucket, "bucket long, bucket_shard int")
-    placed = sized.withColumn("bucket", bucket).join(F.broadcast(keys), "key", "left").join(F.broadcast(buckets), "bucket", "left")
-    chunks = max(LEAST_CHUNKS, total["n"] // CHUNK_ROWS)
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bucket_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).alias("chunk"), "key")
-    per_chunk = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "key")
-    numbered = placed.withColumn("nth", F.row_number().over(within) - 1)
-    return numbered.join(per_chunk, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("nth")).alias("slot"))
+    groups = stored(sized.groupBy("key").agg(F.sum("size").alias("group_size"), F.count("*").alias("copies")), "groups")
+    held = groups.groupBy("group_size").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).toArrow()  # see above
+    counts = dict(zip(held["group_size"].to_pylist(), held["n"].to_pylist(), strict=True))
+    n_rows = sum(held["rows"].to_pylist())
+    runs = least_capacity(counts, shards) if capacity is None else best_fit_decreasing(counts, capacity)
+    upto: dict[int, tuple[list[int], list[int]]] = {}
+    for size, bin_, n in runs:
+        ends, bins = upto.setdefault(size, ([], []))
+        ends.append((ends[-1] if ends else 0) + n)
+        bins.append(bin_)
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    cols = [list(upto), [e for e, _ in upto.values()], [b for _, b in upto.values()]]
+    places = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["group_size", "ends", "bins"]))
+    if 48 * len(upto) + 12 * len(runs) <= BROADCAST_BYTES:  # else a sort-merge join
+        places = F.broadcast(places)
+    ranked = numbered(placed(groups), "group_size", "rank").join(places, "group_size")
+    nth = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    of_group = ranked.select("key", "copies", F.element_at("bins", nth + 1).alias("shard"))
+    whole = join_split(placed(sized), stored(of_group, "placed"), "key", "copies", n_rows)
+    return numbered(whole, "shard", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

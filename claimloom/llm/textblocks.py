@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system, where allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,7 +35,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES)
         end = max(at + 1, int(np.searchsorted(total, before + step, side="right")))
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # a worker outlives its tasks
+    release()  # a worker outlives its tasks
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -128,5 +128,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, sections: D
                     [ids.take(pa.array(doc)), kind, number, pa.array(low - base[doc]), pa.array(high - base[doc]), pa.array(count), pa.array(crossing)],
                     ["doc_id", "kind", "section", "begin", "end", "n_tokens", "n_crossing"],
                 )
+        tok.done()
 
     return rows.mapInArrow(run, SCHEMA)

@@ -179,6 +179,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 seen += np.bincount(ids, minlength=len(seen))
                 packed = binary_array(ids.astype(wide).view(np.uint8), to * wide.itemsize)
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.diff(to)), packed, pa.nulls(s.num_rows, pa.binary())], names)
+        tok.done()
         used = np.flatnonzero(seen)
         pairs = np.stack((used, seen[used]), axis=1).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names)
@@ -261,7 +262,7 @@ def write(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, f
     return stored(ranged.sortWithinPartitions(*order).mapInArrow(run, DIRECTORY), "directory")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _decoder(book: bytes) -> Decoder:
     return Decoder(np.frombuffer(zlib.decompress(book), np.uint8))
 

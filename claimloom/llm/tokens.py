@@ -19,12 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textblocks import flat, ragged
+from .textblocks import flat, ragged, release
 
 #: The pre-tokeniser's pattern for which words can be told apart bytewise (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Bytes that the cache of words may take; beyond that it starts anew.
+CACHE_BYTES = 40 << 20
+#: What a word takes beside its own bytes: the object, its entry and number, and its place.
+WORD_BYTES = 180
 
 SPACE, LETTER, DIGIT, MARK = range(4)
 #: Class of each byte in a plain run; 0x80-0xBF and 0xC3 make up the letters U+00C0-U+00FF.
@@ -87,15 +89,21 @@ class WordTokenizer:
         self.width = np.zeros(self.vocab, np.int32)
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token) - (len(self.suffix) if self.suffix and token.endswith(self.suffix) else 0)
-        self._fresh()
+        self.forget()
 
-    def _fresh(self) -> None:
+    def forget(self) -> None:
         self.code: dict[bytes, int] = {}
         self.odd: dict[int, tuple[list[int], list[int]]] = {}
+        self.held = 0  # bytes, about
         self.n = 0  # token slots in use
         self.starts, self.counts = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
 
+    def done(self) -> None:
+        """To be called at the end of a task: the worker lives on without the words."""
+        self.forget()
+        release()
+
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if n <= len(a):
@@ -126,12 +134,13 @@ class WordTokenizer:
         self.starts[base : base + len(ids)] = self.n + np.cumsum(sizes) - sizes
         self.ids[self.n : self.n + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
         self.n += total
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + (100 if odd else 4) * total
         return codes
 
     def _learn(self, words: list[bytes], odd: np.ndarray) -> np.ndarray:
         """Codes of distinct words; those not known yet are encoded."""
-        if len(self.code) + len(words) > CACHE_WORDS and self.code:
-            self._fresh()
+        if self.held > CACHE_BYTES:
+            self.forget()
         for i in np.flatnonzero(odd).tolist():  # as they stand, not in lower case
             words[i] = b"\0" + words[i]
         get = self.code.get
@@ -230,7 +239,7 @@ class WordTokenizer:
         return Encoded(flat_ids, offsets, pairs[:, 0], pairs[:, 1])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker and file, with its cache of words."""
     import os

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -19,8 +19,8 @@ def expected_pieces(docs, seq_len, end_id):
     return out
 
 
-def check(docs, seq_len, budget=packing.BUDGET):
-    got = packing.pack(docs, seq_len=seq_len, end_id=0, budget=budget).collect()
+def check(docs, seq_len, parts=packing.PARTS):
+    got = packing.pack(docs, seq_len=seq_len, end_id=0, parts=parts).collect()
     key = lambda x: tuple(str(v) for v in x)
     assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(expected_pieces(docs, seq_len, 0), key=key)
     bins = defaultdict(list)
@@ -35,10 +35,10 @@ def check(docs, seq_len, budget=packing.BUDGET):
     return len(bins), sum(r["length"] for r in got)
 
 
-@pytest.mark.parametrize("budget", [packing.BUDGET, 20])
-def test_documents(documents, budget):
-    used, total = check(documents, 2048, budget)
-    assert used <= total / 2048 * (1.03 if budget > 20 else 1.15) + 1
+@pytest.mark.parametrize("parts", [packing.PARTS, 1, 3])
+def test_documents(documents, parts):
+    used, total = check(documents, 2048, parts)
+    assert used <= total / 2048 * (1.03 if parts > 3 else 1.15) + 1
 
 
 def test_odd_rows(odd_docs, no_docs):
@@ -50,19 +50,33 @@ def test_odd_rows(odd_docs, no_docs):
 def test_sum_of_squares_is_as_good_as_best_fit(seed):
     rng = np.random.default_rng(seed)
     sizes = rng.integers(1, 100, 3000)
-    slots, top, used = packing.sum_of_squares(np.bincount(sizes, minlength=101), 100)
-    assert top == 0 and len(slots.length) == 3000
-    plain = max(best_fit_decreasing(sizes.tolist(), 100)) + 1
+    runs, used = packing.sum_of_squares(np.bincount(sizes, minlength=101), 100)
+    assert sum(runs.count) == 3000
+    plain = max(b for _, b, _ in best_fit_decreasing(dict(Counter(sizes.tolist())), 100)) + 1
     assert used <= 1.01 * plain
 
 
+@pytest.mark.parametrize("times", [1, 40, 3000])
+def test_batches_lose_next_to_nothing(times):
+    """The number of sequences is that of the items one by one, within a part of a thousand."""
+    lengths = np.clip(np.random.default_rng(9).lognormal(4.0, 0.9, 2000).astype(int), 1, 255)
+    counts = np.bincount(lengths, minlength=257) * times
+    _, one_by_one = packing.sum_of_squares(counts if times < 100 else counts // times * 100, 256, parts=10**9)
+    _, used = packing.sum_of_squares(counts, 256, parts=512)
+    scale = times / 100 if times >= 100 else 1
+    assert used <= 1.001 * one_by_one * scale + 1
+    least = -(-int((counts * np.arange(257)).sum()) // 256)
+    assert used >= least
+
+
 def test_each_item_has_least_squares():
     """Against the rule written out."""
     rng = np.random.default_rng(5)
     sizes = sorted(rng.integers(1, 20, 200).tolist(), reverse=True)
-    slots, _, _ = packing.sum_of_squares(np.bincount(sizes, minlength=21), 20)
+    runs, _ = packing.sum_of_squares(np.bincount(sizes, minlength=21), 20)
+    assert set(runs.count) == {1} and list(runs.length) == sizes
     gaps, at = {}, {}
-    for s, b, offset in zip(slots.length, slots.sequence, slots.offset, strict=True):
+    for s, b, offset in zip(runs.length, runs.sequence, runs.offset, strict=True):
         open_ = defaultdict(int)
         for g in gaps.values():
             if g:
@@ -78,6 +92,7 @@ def test_each_item_has_least_squares():
         fits = [g for g in open_ if g >= s]
         if fits:
             assert squares(gaps[b]) == min(map(squares, fits))
+            assert gaps[b] == min(g for g in fits if squares(g) == squares(gaps[b]))
         else:
             assert b not in gaps
         assert offset == at.get(b, 0)

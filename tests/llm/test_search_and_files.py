@@ -148,29 +148,61 @@ def test_a_group_of_a_third_leaves_the_other_shards_even(spark):
 
 
 def test_least_capacity_sets_large_items_apart():
-    sizes = [5000, 900, *[1] * 220]
-    bins = sharding.least_capacity(sizes, 24)
     load = Counter()
-    for s, b in zip(sizes, bins, strict=True):
-        load[b] += s
+    for size, b, n in sharding.least_capacity({5000: 1, 900: 1, 1: 220}, 24):
+        load[b] += size * n
     assert sorted(load.values()) == [10] * 22 + [900, 5000]
-    assert sorted(sharding.least_capacity([9, 5, 2], 24)) == [0, 1, 2]
+    assert sorted(b for _, b, _ in sharding.least_capacity({9: 1, 5: 1, 2: 1}, 24)) == [0, 1, 2]
+    assert sharding.least_capacity({}, 24) == []
 
 
-def test_best_fit_against_a_list():
-    rng = np.random.default_rng(4)
-    sizes = rng.integers(1, 60, 500).tolist()
-    got = sharding.best_fit_decreasing(sizes, 100)
-    bins, want = [], {}
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fits = [(r, b) for b, r in enumerate(bins) if r >= sizes[i]]
+def plain_best_fit(sizes, capacity):
+    bins, out = [], []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(bins) if r >= s]
         if fits:
             b = min(fits)[1]
         else:
             b = len(bins)
-            bins.append(100)
-        bins[b] -= sizes[i]
-        want[i] = b
-    assert got == [want[i] for i in range(len(sizes))]
-    with pytest.raises(ValueError):
-        sharding.best_fit_decreasing([5], 4)
+            bins.append(capacity)
+        bins[b] -= s
+        out.append((s, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_a_list(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 60 if seed % 2 else 12, 500).tolist()
+    got = [(s, b) for s, b, n in sharding.best_fit_decreasing(dict(Counter(sizes)), 100) for _ in range(n)]
+    assert got == plain_best_fit(sizes, 100)
+    assert [b for _, b, _ in sharding.best_fit_decreasing({5: 2, 3: 1, 0: 2}, 4)] == [0, 1, 2, 2]
+
+
+def test_groups_are_packed_as_a_plain_best_fit(spark, documents):
+    """The whole assignment: shards' sizes are those of the rule on groups, one by one."""
+    groups = Counter()
+    for r in documents.collect():
+        groups[r["text"]] += len(r["text"].encode()) + 8
+    capacity = 3 * max(groups.values())
+    want = Counter()
+    for s, b in plain_best_fit(groups.values(), capacity):
+        want[b] += s
+    load = Counter()
+    for r in sharding.shard(documents, capacity=capacity).collect():
+        load[r["shard"]] += r["size"]
+    assert load == want
+
+
+def test_a_group_above_the_capacity_has_a_shard_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "x" * 500), (2, "y"), (3, "z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, capacity=100).collect()}
+    assert got[2] == got[3] != got[1]
+
+
+def test_rows_of_a_hot_text_and_null_ids(spark):
+    rows = [(None, "same")] * 700 + [(7, "same")] * 300 + [(i, f"text {i % 150}") for i in range(500)]
+    slots = defaultdict(list)
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 1500 and all(sorted(s) == list(range(len(s))) for s in slots.values())

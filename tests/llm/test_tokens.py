@@ -40,6 +40,6 @@ def test_any_other_tokenizer_file_goes_text_by_text():
 def test_cache_of_bounded_size(monkeypatch):
     from claimloom.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 9000)
     for k in range(5):
         same([" ".join(f"w{chr(97 + i % 26)}x{chr(97 + k)}{i}" for i in range(60))])
