@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: What goes to a Python worker at once, unless the session says otherwise: texts are long,
+#: and a batch lies in memory on both sides.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the path the driver has it on.
+    """Let Python workers import this package from the path the driver has it on, and bound their batches.
 
     On a cluster the package is installed or sent with ``--py-files``; there the extra
     entry of PYTHONPATH does nothing.
@@ -28,6 +31,14 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    for key, value in ARROW_BATCH.items():
+        if spark.conf.get(key) == _default(spark, key):
+            spark.conf.set(key, value)
+
+
+def _default(spark: SparkSession, key: str) -> str:
+    conf = spark._jvm.org.apache.spark.sql.internal.SQLConf()
+    return conf.getConfString(key)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
