@@ -38,6 +38,34 @@ def test_topk(spark, block):
     assert sorted(map(tuple, got.collect())) == brute_topk(f32, f32q, 10, 1024)
 
 
+def test_topk_with_several_lengths_large_values_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 100)  # several blocks of queries
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3 + i % 3).round(2).tolist(), "x", 1.5) for i in range(150)]
+    rows += [(200 + i, [float(2**51 + i), 1.0, -float(2**40)], "y", None) for i in range(12)]  # near the end of exact doubles
+    df = spark.createDataFrame(rows, "id long, vec array<double>, ids string, score double")
+    queries = [(i, v) for i, v, *_ in rows if i % 10 == 0 and i < 200]
+    asked = spark.createDataFrame([(i, v, "q") for i, v in queries], "id long, vec array<double>, query_id string")
+    got = topk.search(topk.build(df, 1, 40), asked, 4, 1)
+    assert sorted(map(tuple, got.collect())) == brute_topk([r[:2] for r in rows], queries, 4, 1)
+
+
+def test_only_vectors_within_reach_are_read(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-500, 500, (4000, 16))
+    (tmp_path / "f").write_bytes(x.astype("<i8").tobytes())
+    held = topk.Exact(f"file://{tmp_path}/f", 0, 4000, 16)
+    assert (held.rows(np.array([5, 3999, 7])) == x[[5, 3999, 7]]).all() and len(held.vectors) == 3
+    assert (held.rows(np.array([7, 8])) == x[[7, 8]]).all() and len(held.vectors) == 4
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    big = np.full((1, 2), 2**40)
+    assert topk._scores(big, np.array([2**20, 5]))[0] == 2**60 + 5 * 2**40
+    with pytest.raises(OverflowError):
+        topk._scores(big, np.array([2**40, 5]))
+
+
 def test_topk_of_nothing(spark):
     none = spark.createDataFrame([], "id long, vec array<float>")
     assert topk.search(topk.build(none), none).count() == 0
