@@ -24,8 +24,9 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc.build_index(warc.write(table(spark, sf_dir, "pages"), least=1000))
-    found = warc.read(warc.captures_of(directory))
+    pages = table(spark, sf_dir, "pages")
+    directory = warc.build_index(warc.write(pages, least=1000))
+    found = warc.read(warc.look_up(directory, pages.select("url")))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

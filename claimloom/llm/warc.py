@@ -6,16 +6,20 @@ records that refer to it. Tasks write archives under a name of their attempt; th
 captures names those of committed tasks only.
 
 Index: captures are sorted by reversed-host key (com,example)/path) and cut into compressed
-blocks of lines; a sparse directory keeps the first key and the place of each block. A
-look-up searches the directory, then its block, by bisection, and range-reads the record.
+blocks of lines; a sparse directory keeps the first and last key and the place of each block.
 
-Reading: the captures of the index blocks, in order of archive and offset, with
-neighbouring ranges read at once.
+Look-up: the keys of a table of URLs (``look_up``) or one URL's (``Lookup``) search the directory by
+bisection, then the block that it names, read by its range, by bisection too. The directory is
+broadcast in slices of at most ``BROADCAST_BYTES``, in order of keys, one job each.
+
+Reading: captures in order of archive and offset, with neighbouring ranges read at once.
 
 Defined results: a null html is an empty payload; a null url has an empty key and no target
 header; rows that share the largest page_id of a payload are all responses; null page_ids
 count as smaller than any and, where nothing but nulls shares a payload, all are responses;
 repeated rows are records of their own; extra columns take no part; no rows give no rows.
+The url of a record read back is that of its header: characters that a header or URI may not
+hold (control characters, spaces, beyond ASCII) are percent-encoded.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +49,8 @@ JOIN_GAP, JOIN_BYTES = 4 << 10, 4 << 20
 BROADCAST_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "surt string, page_id long, type string, file string, position long, size long"
-DIRECTORY = "first_key string, last_key string, file string, position long, size long, n long"
+DIRECTORY = "first_key string, last_key string, file string, position long, size long, n long, part int"
+WANTED = "surt string, file string, position long, size long"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -111,7 +117,7 @@ def row(fields: dict[str, str], block: bytes) -> tuple:
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     names = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], [n for n, _ in names])
 
@@ -172,7 +178,7 @@ def build_index(captures: DataFrame, folder: str | None = None, lines: int = BLO
                 out = fs.open_output_stream(name, compression=None)
             pack = zlib.compressobj(6, wbits=31)
             data = pack.compress("".join(f"{json.dumps(list(x))}\n" for x in held).encode()) + pack.flush()
-            found.append((held[0][0], held[-1][0], name, out.tell(), len(data), len(held)))
+            found.append((held[0][0], held[-1][0], name, out.tell(), len(data), len(held), TaskContext.get().partitionId()))
             out.write(data)
             held.clear()
 
@@ -186,8 +192,8 @@ def build_index(captures: DataFrame, folder: str | None = None, lines: int = BLO
             out.close()
         yield _table(found, DIRECTORY)
 
-    parts = max(1, captures.count() // (8 * lines))
-    order = ["surt", "page_id", "file", "position"]
+    parts = max(1, captures.count() // (32 * lines))
+    order = ["surt", "page_id", F.xxhash64("file"), "position"]  # the hash: what Spark samples for the ranges stays short
     return stored(captures.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, DIRECTORY), "directory")
 
 
@@ -209,6 +215,65 @@ def captures_of(directory: DataFrame) -> DataFrame:
     return directory.select("file", "position", "size").repartition(n, "file", "position").mapInArrow(run, CAPTURES)
 
 
+def _slices(directory: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of parts of the directory that may be broadcast; parts are in order of keys."""
+    size = F.sum(F.octet_length("first_key") + F.octet_length("last_key") + 100).alias("size")
+    out, held = [], 0
+    for part, size in sorted(tuple(r) for r in directory.groupBy("part").agg(size).collect()):  # a row for each 32 blocks
+        if not out or held + size > BROADCAST_BYTES:
+            out.append((part, part))
+            held = 0
+        out[-1], held = (out[-1][0], part), held + size
+    return out
+
+
+def look_up(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """All captures of the URLs of a table (url), by the directory and its blocks."""
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _table([(surt(u),) for u in batch.column(0).to_pylist()], "surt string")
+
+    spark = urls.sparkSession
+    keys = stored(urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(keys_of, "surt string").distinct(), "keys")
+    wanted = None
+    for low, high in _slices(directory):
+        rows = directory.where(F.col("part").between(low, high)).select("first_key", "last_key", "file", "position", "size")
+        rows = sorted(tuple(r) for r in rows.collect())  # BROADCAST_BYTES at most, or one part
+        part = keys.where(F.col("surt").between(rows[0][0], rows[-1][1])).mapInArrow(_searching(spark.sparkContext.broadcast(rows)), WANTED)
+        wanted = part if wanted is None else wanted.unionByName(part)
+    if wanted is None:
+        return spark.createDataFrame([], CAPTURES)
+
+    def search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lines, keys = None, [], []
+        for batch in batches:
+            found = []
+            for key, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
+                    at, lines = place, _block(*place)
+                    keys = [x[0] for x in lines]
+                found += lines[bisect_left(keys, key) : bisect_right(keys, key)]
+            yield _table(found, CAPTURES)
+
+    wanted = stored(wanted, "wanted")
+    n = max(1, min(wanted.count() // 500, 64 * spark.sparkContext.defaultParallelism))
+    return stored(wanted.repartition(n, "file", "position").sortWithinPartitions("file", "position", "surt").mapInArrow(search_blocks, CAPTURES), "found")
+
+
+def _searching(sent):
+    def search_directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sent.value
+        first, last = [r[0] for r in rows], [r[1] for r in rows]
+        for batch in batches:
+            found = []
+            for key in batch.column(0).to_pylist():
+                found += [(key, *r[2:]) for r in rows[bisect_left(last, key) : bisect_right(first, key)]]
+            yield _table(found, WANTED)
+
+    return search_directory
+
+
 def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of captures, as RECORDS (payload null unless asked for).
 
@@ -235,7 +300,8 @@ def read(captures: DataFrame, payloads: bool = False) -> DataFrame:
             yield _table(found, RECORDS)
 
     n = max(1, min(captures.count() // 500 + 1, 64 * captures.sparkSession.sparkContext.defaultParallelism))
-    return captures.select("file", "position", "size").repartitionByRange(n, "file", "position").sortWithinPartitions("file", "position").mapInArrow(run, RECORDS)
+    stretch = F.floor(F.col("position") / JOIN_BYTES)
+    return captures.select("file", "position", "size").repartition(n, "file", stretch).sortWithinPartitions("file", "position").mapInArrow(run, RECORDS)
 
 
 class Lookup:
@@ -258,7 +324,7 @@ class Lookup:
         else:
             blocks = self.rows[bisect_left(self.last, key) : bisect_right(self.first, key)]
         out = []
-        for _, _, file, position, size, _ in blocks:
+        for _, _, file, position, size, *_ in blocks:
             lines = _block(file, position, size)
             keys = [x[0] for x in lines]
             out += lines[bisect_left(keys, key) : bisect_right(keys, key)]

@@ -104,6 +104,16 @@ def brute_pages(pages):
     return sorted(out, key=str)
 
 
+def test_urls_with_line_ends_and_a_very_long_page(spark):
+    rows = [(1, "http://a.org/x\r\nWARC-Type: revisit\r\n\r\n", "body"), (2, "http://a.org/é p", "long " * 600_000), (3, "http://a.org/%20", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    directory = warc.build_index(warc.write(pages))
+    got = {r["page_id"]: r for r in warc.read(warc.look_up(directory, pages.select("url")), payloads=True).collect()}
+    assert got[1]["url"] == "http://a.org/x%0D%0AWARC-Type:%20revisit%0D%0A%0D%0A" and got[1]["record_type"] == "response"
+    assert got[2]["url"] == "http://a.org/%C3%A9%20p" and got[2]["payload"] == b"long " * 600_000
+    assert got[3]["url"] == "http://a.org/%20" and got[3]["payload"] == b""
+
+
 @pytest.mark.parametrize("limit", [0, 32 << 20])
 def test_warc_round_trip(spark, monkeypatch, limit):
     monkeypatch.setattr(warc, "BROADCAST_BYTES", limit)
@@ -116,6 +126,10 @@ def test_warc_round_trip(spark, monkeypatch, limit):
     for r in records:
         if r["record_type"] == "response":
             assert hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"]
+    found = warc.read(warc.look_up(directory, pages.select("url"))).collect()
+    assert sorted((tuple(r[k] for k in keys) for r in found), key=str) == brute_pages(PAGES)
+    some = spark.createDataFrame([("http://d.example.org/",), ("http://d.example.org/",), ("http://none.org/",), (None,)], "url string")
+    assert sorted((r["page_id"] for r in warc.read(warc.look_up(directory, some)).collect()), key=str) == [3, 9, 9]
     for most in (0, 100):
         look = warc.Lookup(spark, directory, most=most)
         assert sorted(r[4] for r in look.records("http://example.com")) == sorted(h for i, _, h, _, _ in brute_pages(PAGES[1:2] + PAGES[13:]))
@@ -124,6 +138,7 @@ def test_warc_round_trip(spark, monkeypatch, limit):
 
 def test_warc_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.look_up(warc.build_index(warc.write(none)), none.select("url"))).count() == 0
     assert warc.read(warc.captures_of(warc.build_index(warc.write(none)))).count() == 0
 
 
