@@ -10,7 +10,9 @@ lists of each segment.
 
 ``Phrases`` are compiled test windows. In a segment those with an absent term drop out at
 once; for the rest, the lists are intersected from the rarest term on, each less its
-offset in the phrase. Phrases are broadcast in blocks of at most ``BLOCK_BYTES`` of test text.
+offset in the phrase. Tasks compile the test text into blocks of about ``BLOCK_BYTES`` (a longer item is a
+block), each a file in the shared folder. A task takes ``HELD`` segments at a time and holds one block of
+phrases at a time against them, so neither memory nor a broadcast grows with the test set.
 
 Words are runs of digits, letters a-z (A-Z lowered) and characters beyond ASCII.
 
@@ -23,6 +25,8 @@ columns take no part; with no items all rows are clean.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .textblocks import flat, slices
+from ..session import scratch, stored
+from .files import filesystem
+from .textblocks import flat, ragged, slices
 
 SEGMENT_BYTES = 3 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+HELD = 8
 #: A table of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 INDEX = "docs binary, terms binary, postings binary"
@@ -150,22 +156,34 @@ def _among(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """Distinct test windows over a vocabulary, and the items that each belongs to."""
+    """Distinct test windows over a vocabulary, and the items that each belongs to.
+
+    For each length: the windows as rows of term numbers, and the items of window i as
+    places ``begin[i]`` to ``begin[i + 1]`` of a list.
+    """
 
     def __init__(self, item_ids: list[int | None], texts: pa.Array, window: int):
         found, n = words_of(texts)
         d = found.dictionary_encode()
-        code, ends = np.asarray(d.indices), np.cumsum(n)
-        owners: dict[tuple[int, ...], set] = {}
-        for item, a, b in zip(item_ids, (ends - n).tolist(), ends.tolist(), strict=True):
-            own = code[a:b].tolist()
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[k : k + window]), set()).add(item)
+        code, begin = np.asarray(d.indices).astype(np.int32), np.cumsum(n) - n
         self.vocabulary = d.dictionary
-        by_length: dict[int, list] = {}
-        for phrase in owners:
-            by_length.setdefault(len(phrase), []).append(phrase)
-        self.phrases = [(np.array(p, np.int64), [sorted(owners[x], key=lambda i: (i is None, i)) for x in p]) for p in by_length.values()]
+        self.items = sorted(set(item_ids), key=lambda i: (i is None, i))
+        rank = {x: i for i, x in enumerate(self.items)}
+        of = np.array([rank[x] for x in item_ids], np.int64)
+        length = np.minimum(n, window)
+        self.phrases = []
+        for size in np.unique(length[length > 0]).tolist():
+            mine = np.flatnonzero(length == size)
+            count = n[mine] - size + 1
+            rows = code[ragged(begin[mine], count)[:, None] + np.arange(size)]
+            owner = np.repeat(of[mine], count)
+            _, first, which = np.unique(rows.view(np.dtype((np.void, 4 * size))).reshape(-1), return_index=True, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(self.items) + owner)
+            bounds = np.searchsorted(pairs // len(self.items), np.arange(len(first) + 1))
+            self.phrases.append((rows[first], bounds, pairs % len(self.items)))
+
+    def _owners(self, bounds: np.ndarray, owner: np.ndarray, row: int) -> list[int | None]:
+        return [self.items[i] for i in owner[bounds[row] : bounds[row + 1]].tolist()]
 
     def search(self, segment: Segment) -> Iterator[tuple[int, list, np.ndarray]]:
         """Length, items and start positions of each window that occurs."""
@@ -177,7 +195,7 @@ class Phrases:
                 lists[term] = segment.postings(place[term])
             return lists[term]
 
-        for codes, items in self.phrases:
+        for codes, bounds, owner in self.phrases:
             seen = count[codes]
             alive = np.flatnonzero(seen.min(axis=1) > 0)
             order = np.argsort(seen[alive], axis=1, kind="stable")
@@ -189,7 +207,7 @@ class Phrases:
                     if not len(starts):
                         break
                 if len(starts):
-                    yield len(terms), items[row], starts
+                    yield len(terms), self._owners(bounds, owner, row), starts
 
     def near(self, segment: Segment, within: int) -> Iterator[tuple[int, list, np.ndarray]]:
         """As ``search``, for runs of ``within`` words that hold all terms in any order.
@@ -197,11 +215,9 @@ class Phrases:
         A run starts at one of the terms; every such run is given.
         """
         place, count = segment.find(self.vocabulary)
-        for codes, items in self.phrases:
-            for terms, owners in zip(codes, items, strict=True):
-                distinct = np.unique(terms)
-                if count[distinct].min() == 0:
-                    continue
+        for codes, bounds, owner in self.phrases:
+            for row in np.flatnonzero(count[codes].min(axis=1) > 0).tolist():
+                distinct = np.unique(codes[row])
                 lists = sorted((segment.postings(place[t]) for t in distinct), key=len)
                 starts = np.unique(np.concatenate(lists))
                 for own in lists:
@@ -218,21 +234,67 @@ class Phrases:
                         last = np.maximum(last, own[np.searchsorted(own, starts)])
                     starts = starts[last < segment.base[doc] + segment.n[doc]]
                 if len(starts):
-                    yield within, owners, starts
+                    yield within, self._owners(bounds, owner, row), starts
 
 
-def compiled(items: DataFrame, window: int) -> list:
-    """Broadcast blocks of the test windows, each of at most BLOCK_BYTES of text."""
+def compiled(items: DataFrame, window: int) -> list[str]:
+    """Files of the test windows, a block each."""
     spark = items.sparkSession
+    folder = scratch(spark, "phrases")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(-(-2 * size // BLOCK_BYTES)) or 1  # twice as many as would do on average
-    out = []
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = part.toArrow().combine_chunks()
-        out.append(spark.sparkContext.broadcast(Phrases(held["item_id"].to_pylist(), held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string()), window)))
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        held, n, names = [], 0, []
+
+        def flush() -> None:
+            fs.create_dir(root, recursive=True)
+            names.append(f"{root}/{uuid.uuid4().hex}.phrases")
+            block = pa.Table.from_batches(held).combine_chunks()
+            with fs.open_output_stream(names[-1], compression=None) as out:
+                out.write(pickle.dumps(Phrases(block["item_id"].to_pylist(), block["text"].combine_chunks(), window), protocol=5))
+
+        for batch in batches:
+            for s in slices(batch, step=BLOCK_BYTES):
+                held.append(s)
+                n += s.nbytes
+                if n >= BLOCK_BYTES:
+                    flush()
+                    held, n = [], 0
+        if held:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    spread = rows.repartition(max(1, size // BLOCK_BYTES), F.xxhash64("item_id", "text"))
+    return [r["name"] for r in stored(spread.mapInArrow(run, "name string"), "phrase-files").collect()]  # one for each block
+
+
+def against(names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[Segment], Iterator[Phrases]]]:
+    """Segments, ``HELD`` at a time, each time with all blocks, one after the other."""
+    kept: list[Phrases] = []  # a single block is read once
+
+    def blocks() -> Iterator[Phrases]:
+        if kept:
+            yield kept[0]
+            return
+        for name in names:
+            fs, path = filesystem(name)
+            with fs.open_input_file(path) as f:
+                block = pickle.loads(f.read())
+            if len(names) == 1:
+                kept.append(block)
+            yield block
+
+    held: list[Segment] = []
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            held.append(Segment(*(x.as_py() for x in row)))
+            if len(held) == HELD:
+                yield held, blocks()
+                held = []
+    if held:
+        yield held, blocks()
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = 10, within: int | None = None) -> DataFrame:
@@ -241,14 +303,13 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, within: int |
     With ``within`` a match is a run of so many words that holds all words of the window in
     any order (proximity); its start is one of them.
     """
-    blocks = compiled(items, window)
+    names = compiled(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs, terms, postings in zip(*batch.columns, strict=True):
-                seg = Segment(docs.as_py(), terms.as_py(), postings.as_py())
-                for block in blocks:
-                    for length, owners, starts in block.value.near(seg, within) if within else block.value.search(seg):
+        for segments, blocks in against(names, batches):
+            for block in blocks:
+                for seg in segments:
+                    for length, owners, starts in block.near(seg, within) if within else block.search(seg):
                         doc = seg.doc_of(starts)
                         for item in owners:
                             yield pa.RecordBatch.from_arrays(
@@ -275,28 +336,27 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
 
 
 def _report(index: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    blocks = compiled(items, window)
+    names = compiled(items, window)
+    clean = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs, terms, postings in zip(*batch.columns, strict=True):
-                seg = Segment(docs.as_py(), terms.as_py(), postings.as_py())
-                edge = np.zeros(int(seg.base[-1] + seg.n[-1]) + 2, np.int64)
-                items_of: dict[int, set] = {}
-                for block in blocks:
-                    for length, owners, starts in block.value.search(seg):
+        for segments, blocks in against(names, batches):
+            edges = [np.zeros(int(seg.base[-1] + seg.n[-1]) + 2, np.int64) for seg in segments]
+            items_of: list[dict[int, set]] = [{} for _ in segments]
+            for block in blocks:
+                for seg, edge, own in zip(segments, edges, items_of, strict=True):
+                    for length, owners, starts in block.search(seg):
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + length, -1)
                         for doc in np.unique(seg.doc_of(starts)).tolist():
-                            items_of.setdefault(doc, set()).update(owners)
+                            own.setdefault(doc, set()).update(owners)
+            for seg, edge, own in zip(segments, edges, items_of, strict=True):
                 upto = np.concatenate(([0], np.cumsum(np.cumsum(edge) > 0)))
                 hit = upto[seg.base + seg.n] - upto[seg.base]
-                names = {doc: sorted(str(i) for i in own if i is not None) for doc, own in items_of.items()}
-                clean = hashlib.sha256(b"").hexdigest()
-                digest = [clean] * len(hit)
-                count = np.zeros(len(hit), np.int64)
-                for doc, own in names.items():
-                    digest[doc], count[doc] = hashlib.sha256(",".join(own).encode()).hexdigest(), len(own)
+                digest, count = [clean] * len(hit), np.zeros(len(hit), np.int64)
+                for doc, ids in own.items():
+                    named = sorted(str(i) for i in ids if i is not None)
+                    digest[doc], count[doc] = hashlib.sha256(",".join(named).encode()).hexdigest(), len(named)
                 yield pa.RecordBatch.from_arrays(
                     [seg.doc_id, pa.array(seg.n), pa.array(hit), pa.array(count), pa.array(digest), pa.array(hit > 0), seg.key],
                     [f.split()[0] for f in REPORT.split(", ")],

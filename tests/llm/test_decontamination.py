@@ -1,3 +1,4 @@
+import pickle
 import hashlib
 import re
 from collections import defaultdict
@@ -43,10 +44,21 @@ def test_odd_rows(spark, odd_docs, window, monkeypatch):
     index = D.build_index(odd_docs.where("doc_id is null or doc_id <> 5"))
     want = brute(docs, ITEMS, window)
     assert sorted((tuple(r) for r in D.report(index, items, window).collect()), key=str) == want
-    monkeypatch.setattr(D, "BLOCK_BYTES", 16)  # many broadcast blocks
+    monkeypatch.setattr(D, "BLOCK_BYTES", 16)  # many blocks
+    monkeypatch.setattr(D, "HELD", 1)
     assert sorted((tuple(r) for r in D.report(index, items, window).collect()), key=str) == want
 
 
+def test_a_block_holds_a_bounded_part_of_the_items(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 4000)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(60)] + [(99, "long " * 5000)]
+    names = D.compiled(spark.createDataFrame(rows, "item_id long, text string"), 10)
+    blocks = [pickle.loads(open(n.removeprefix("file://"), "rb").read()) for n in names]
+    assert len(blocks) > 8
+    assert all(len(b.items) <= 12 for b in blocks)
+    assert sorted(i for b in blocks for i in b.items) == sorted(i for i, _ in rows)
+
+
 def test_empty_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.report(D.build_index(odd_docs), none).where("contaminated").count() == 0
