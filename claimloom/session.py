@@ -73,7 +73,11 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
 
     The lineage ends there: a lost executor costs a re-read, not a recomputation.
     """
-    path = scratch(df.sparkSession, name)
+    return keep(df, scratch(df.sparkSession, name), **options)
+
+
+def keep(df: DataFrame, path: str, **options) -> DataFrame:
+    """As ``stored``, at a path that the caller may drop once nothing reads it any more."""
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
