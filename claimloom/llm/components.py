@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import drop_path, keep, scratch
+from .skew import join_split
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -16,21 +17,27 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; the root is the smallest node of its component.
 
     ``edges`` has columns u and v of one orderable type. Each round is an aggregation and a
-    join on the node; nothing of the graph reaches the driver but two sums that tell when it
-    stands still. Rounds grow as the logarithm of the longest path. Self loops, repeated
+    join on the node, whose hubs' rows are not shuffled (``join_split``); nothing of the graph reaches
+    the driver but two sums that tell when it stands still. Rounds grow as the logarithm of the
+    longest path. A round's table goes when the next is written. Self loops, repeated
     edges and edges with a null end are allowed; the latter are left out.
     """
-    now = stored(edges.select("u", "v").where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    spark = edges.sparkSession
+    path = scratch(spark, "edges")
+    now = keep(edges.select("u", "v").where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path)
+    state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(most_rounds):
         # large star: all larger neighbours of u go to the smallest one around u
         around = _both(now)
-        low = around.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = around.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
+        low = around.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select("u", F.least("u", "w").alias("w"), "n")
+        large = join_split(around.where("v > u"), low, "u", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("w").alias("v")).where("u <> v").distinct()
         # small star: all smaller neighbours of u, and u, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(low, "u").where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("w").alias("v"))).distinct(), "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n"))
+        small = join_split(large, low, "u", "n", 2 * state[0]).where("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
+        then = scratch(spark, "edges")
+        now = keep(small.unionByName(low.select("u", F.col("w").alias("v"))).distinct(), then)
+        drop_path(spark, path)
+        path = then
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,7 +8,7 @@
    of m texts makes m - 1 links, never all pairs. The components of these links hold every
    pair that shares a band.
 4. Within a component all pairs are verified on their full n-gram sets. Large components are
-   cut into blocks, and each pair of blocks is a task of bounded size; small ones share
+   cut into blocks of bounded texts and bytes, and each pair of blocks is a task of bounded size; small ones share
    tasks. A task returns for each text its number of links and one link to the root of what it
    joined, so its rows do not grow with the pairs.
 5. The components of verified links are the classes.
@@ -29,18 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
 from .decontamination import words_of
-from .textblocks import ragged, slices
+from .skew import BROADCAST_BYTES, join_split
+from .textblocks import ragged, release, slices
 
 #: Texts of a block: at least SMALL, and beyond SMALL**2 texts in a component more, up to LARGE.
 SMALL, LARGE = 64, 2048
-#: A table of at most so many bytes may be broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of text of a block, about.
+TASK_BYTES = 4 << 20
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -169,13 +171,13 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
 def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
     """Links of one task: texts of one or several components, or of two blocks of one."""
     table = table.combine_chunks()
-    keys = table["key"].to_pylist()
-    seen: dict[bytes, int] = {}
+    keys = table["node"].to_pylist()
+    seen: dict[int, int] = {}
     for i, k in enumerate(keys):
         seen.setdefault(k, i)  # repeated rows of one representative
     keep = sorted(seen.values())
     table = table.take(pa.array(keep))
-    keys = table["key"].to_pylist()
+    keys = table["node"].to_pylist()
     comp, side, whole = table["comp"].to_pylist(), table["side"].to_pylist(), table["whole"].to_pylist()
     sets = _sets(table["text"].combine_chunks(), n)
     links = np.zeros(len(keys), np.int64)
@@ -187,7 +189,7 @@ def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
             i = parent[i]
         return i
 
-    groups: dict[bytes, list[int]] = {}
+    groups: dict[int, list[int]] = {}
     for i, c in enumerate(comp):
         groups.setdefault(c, []).append(i)
     for members in groups.values():
@@ -206,11 +208,12 @@ def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
                 if a != b:
                     parent[max(a, b)] = min(a, b)
     on = [i for i in range(len(keys)) if links[i]]
-    return pa.table({"key": pa.array([keys[i] for i in on], pa.binary()), "peer": pa.array([keys[root(i)] for i in on], pa.binary()), "links": pa.array(links[on])})
+    release()
+    return pa.table({"node": pa.array([keys[i] for i in on], pa.int64()), "peer": pa.array([keys[root(i)] for i in on], pa.int64()), "links": pa.array(links[on])})
 
 
-def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Each row's (doc_id, key), and each text: key, first_id, n_copies, n_links, root."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
+    """Each row's (doc_id, key), each text (key, first_id, n_copies, n_links, root), and the number of rows."""
     bands, rows = plan_bands(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
@@ -222,39 +225,47 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
                 held = signatures(grams, offsets, bands, rows).view(np.int64)
                 some = np.diff(offsets) > 0
                 hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)), pa.array(held[some].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), hashes], ["doc_id", "key", "bands"])
-
-    signed = stored(base.mapInArrow(sign, "doc_id long, key binary, bands array<long>"), "signed")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    texts = stored(texts, "texts")
-    exploded = texts.select("key", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    edges = exploded.join(buckets, "band").where(F.col("key") != F.col("low")).select(F.col("key").alias("u"), F.col("low").alias("v"))
-    parts = stored(components(edges), "candidates")
-    sizes = parts.groupBy("root").agg(F.count("*").alias("m"))
+                size = pc.fill_null(pc.binary_length(s.column(2)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), size, hashes], ["doc_id", "key", "size", "bands"])
+
+    signed = stored(base.mapInArrow(sign, "doc_id long, key binary, size long, bands array<long>"), "signed")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")  # numbers are those written
+    total = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n_copies"), F.lit(0)).alias("rows")).first()
+    exploded = texts.select("node", F.explode("bands").alias("band"))
+    buckets = exploded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    edges = join_split(exploded, buckets, "band", "n", total["texts"] * bands).where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    parts = components(edges).join(texts.select("node", "key", "first_id", "size"), "node")
+    parts = stored(parts, "candidates")
+    sizes = parts.groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
     block = F.greatest(F.lit(SMALL), F.least(F.lit(LARGE), F.ceil(F.col("m") / SMALL)))
-    members = parts.join(sizes, "root").join(texts.select(F.col("key").alias("node"), "first_id"), "node")
-    members = stored(members.select(F.col("node").alias("key"), F.col("root").alias("comp"), "first_id", F.when(F.col("m") <= 2 * SMALL, F.lit(1)).otherwise(F.ceil(F.col("m") / block)).cast("long").alias("blocks")), "members")
-    small = members.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, 1).otherwise(0)), F.lit(0)).alias("small"), F.count("*").alias("n")).first()
-    shared = max(1, small["small"] // (2 * SMALL))
-    lookup = members.select("key", F.coalesce("first_id", F.lit(-1)).alias("first_id"), "comp", "blocks")
+    pieces = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / TASK_BYTES))
+    whole = (F.col("m") <= 2 * SMALL) & (F.col("bytes") <= 2 * TASK_BYTES)
+    blocks = sizes.select("root", F.col("m").alias("members"), F.when(whole, F.lit(1)).otherwise(pieces).cast("long").alias("blocks"))
+    members = join_split(parts, blocks, "root", "members", total["texts"]).withColumnRenamed("root", "comp")
+    members = stored(members, "members")
+    own = lambda c: F.coalesce(F.sum(F.when(F.col("blocks") == 1, c).otherwise(0)), F.lit(0))
+    small = members.agg(own(F.lit(1)).alias("small"), own(F.col("size")).alias("bytes"), F.count("*").alias("n")).first()
+    shared = max(1, small["small"] // (2 * SMALL), small["bytes"] // TASK_BYTES)
+    lookup = members.select("key", "node", F.coalesce("first_id", F.lit(-1)).alias("first_id"), "comp", "blocks")
     if small["n"] * 64 <= BROADCAST_BYTES:  # else a sort-merge join
         lookup = F.broadcast(lookup)
     rep = base.select(F.coalesce("doc_id", F.lit(-1)).alias("first_id"), "key", "text").join(lookup, ["key", "first_id"])
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     rep = rep.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     rep = rep.select(
-        "key", "comp", "text",
+        "node", "comp", "text",
         F.when((F.col("mine") == F.col("other")) | (F.col("mine") < F.col("other")), F.lit(0)).otherwise(F.lit(1)).alias("side"),
         (low == high).alias("whole"),
         F.when(F.col("blocks") == 1, F.xxhash64(F.pmod(F.xxhash64("comp"), F.lit(shared)))).otherwise(F.xxhash64("comp", low, high)).alias("task"),
     )
-    verified = stored(rep.groupBy("task").applyInArrow(lambda t: _verify(t, n, threshold), "key binary, peer binary, links long"), "links")
-    classes = components(verified.select(F.col("key").alias("u"), F.col("peer").alias("v")))
-    counts = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
-    named = texts.select("key", "first_id", "n_copies").join(counts, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
-    return signed.select("doc_id", "key"), stored(named.withColumn("root", F.coalesce("root", "key")), "named")
+    verified = stored(rep.groupBy("task").applyInArrow(lambda t: _verify(t, n, threshold), "node long, peer long, links long"), "links")
+    classes = components(verified.select(F.col("node").alias("u"), F.col("peer").alias("v")))
+    counts = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
+    named = texts.select("node", "key", "first_id", "n_copies").join(counts, "node", "left").join(classes, "node", "left")
+    named = named.select("key", "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("root"))
+    return signed.select("doc_id", "key"), stored(named, "named"), total["rows"]
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
@@ -264,18 +275,19 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     number of different texts at the threshold or above, ``n_copies`` the rows with this
     very text, this one included.
     """
-    rows, named = _classes(docs, n, threshold, recall)
-    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(ids, "root").select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return rows.join(named, "key").select("doc_id", "class_id", "n_links", "n_copies")
+    rows, named, total = _classes(docs, n, threshold, recall)
+    ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"))
+    named = join_split(named, ids, "root", "members", total).select("key", "class_id", "n_links", "n_copies", F.col("n_copies").alias("copies"))
+    return join_split(rows, stored(named, "classes"), "key", "copies", total).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The documents without all but one of each class: the one of the smallest doc_id stays.
 
-    All columns are kept. Rows equal in doc_id and text count as one document.
+    All columns are kept. Rows equal in doc_id and text count as one document: the first of them
+    in the order of their columns as JSON.
     """
-    rows, named = _classes(docs, n, threshold, recall)
+    rows, named, _ = _classes(docs, n, threshold, recall)
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("best"))
     chosen = chosen.select(F.col("best.key").alias("key"), F.col("best.first_id").alias("first_id"), F.lit(True).alias("stays"))
     copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
@@ -290,6 +302,6 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     met = here.join(marks, (F.col("told_key") == F.col("mark_key")) & F.col("told_id").eqNullSafe(F.col("mark_id")), "left")
     out = met.where("stays is null").select("row.*")
     if sums["repeated"]:
-        once = met.where("stays").dropDuplicates(["told_id", "told_key"]).select("row.*")
+        once = met.where("stays").groupBy("told_id", "told_key").agg(F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row")).select("row.*")
         out = out.unionByName(once)
     return out
