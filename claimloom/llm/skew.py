@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 #: A key with more than this part of all rows is hot; there can be no more hot keys than that.
 HOT_PARTS = 256
+#: Fewer rows than this are not worth splitting.
+HOT_ROWS = 1_000
 #: A table of at most so many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a chunk that is numbered in one piece.
 CHUNK_ROWS = 5_000
 
 
+def hot_limit(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_PARTS)
+
+
 def join_split(rows: DataFrame, lookup: DataFrame, on: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (one row a key; ``count`` says how many of ``rows`` have it).
 
     Keys with over total / HOT_PARTS rows, at most HOT_PARTS of them, are broadcast, so their rows
     stay where they are; all others are shuffled. ``count`` is dropped, null keys match nothing.
     """
-    limit = max(1, total // HOT_PARTS)
+    limit = hot_limit(total)
     hot = F.broadcast(lookup.where(F.col(count) > limit).drop(count))
     cold = lookup.where(F.col(count) <= limit).drop(count)
     rest = rows.join(hot.select(on), on, "left_anti")
