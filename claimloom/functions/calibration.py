@@ -84,3 +84,6 @@ def restriction(relationship: Column, profile: str = "scientific") -> Column:
     """Signed factor of a relationship (any case): above 0 keeps, below 0 flips, null is neutral."""
     values = {k: s * RESTRICTION[profile][f] for k, (s, f) in RESTRICTION_OF.items()}
     return lookup(values, F.lower(relationship))
+
+# Fixed value: the belief from which a hypothesis may be promoted.
+PROMOTION = 0.60

@@ -2,7 +2,9 @@
 
 Each round is a join with the frontier and an anti-join with what was seen, so the number of
 paths does not matter and depth is the least number of hops. Rounds end early when the
-frontier is empty; every round is written to shared storage, which cuts the lineage.
+frontier is empty; every round is written to shared storage, which cuts the lineage. The edges
+are written once, as the columns that the rounds need, and stay where they are while the
+frontier is small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import Rounds, stored
+from . import components as stars
+from .skew import BROADCAST_BYTES
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, *, by: tuple[str, ...] = (), include_seeds: bool = True) -> DataFrame:
@@ -19,14 +23,19 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, *, by: tuple[str,
     ``by`` keeps several starts apart.
     """
     keys = [*by, "node"]
+    e = stored(edges.select("src", "dst"), "graph")
     front = stored(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "frontier")
     seen = front
     for depth in range(1, max_depth + 1):
-        step = front.join(edges, front["node"] == edges["src"]).select(*by, F.col("dst").alias("node")).distinct()
-        front = stored(step.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
+        now = F.broadcast(front) if 32 * len(keys) * n <= BROADCAST_BYTES else front
+        step = e.join(now, e["src"] == now["node"]).select(*by, F.col("dst").alias("node")).distinct()
+        front = stored(step.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(front)
+        if depth % 16 == 0:  # a plan of bounded size
+            seen = stored(seen, "seen")
     return seen if include_seeds else seen.where("depth > 0")
 
 
@@ -47,43 +56,69 @@ def lowest_common_ancestors(edges: DataFrame, pairs: DataFrame, max_depth: int)
     return both.groupBy("a", "b").agg(F.min(F.struct("total", "node")).alias("m")).select("a", "b", F.col("m.node").alias("ancestor"), F.col("m.total").alias("total"))
 
 
-def on_cycles(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes that reach themselves within max_depth hops."""
-    e = oriented(edges, "out")
-    start = e.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
-    found = reach(e, start, max_depth - 1, by=("start",))
-    return found.where("start = node").select(F.col("node").alias("claim_id")).distinct()
+def on_cycles(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(claim_id): nodes on a directed cycle of any length.
 
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of undirected edges (src, dst) by least labels with shortcuts; the root is the smallest node."""
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "symmetric")
-    label = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")), "labels")
+    Nodes without a way in or out are peeled off. Each other node takes the least node that
+    reaches it as its colour; those of a colour that reach its node in turn are a strong
+    component. These go, and the rest starts anew. No pairs of nodes are ever listed.
+    """
+    spark = edges.sparkSession
+    e = oriented(edges, "out")
+    found = [stored(e.where("src = dst").select(F.col("src").alias("claim_id")), "loops")]
+    left, labels = Rounds(spark, "edges"), Rounds(spark, "colours")
+    e = left.put(e.where("src <> dst"))
+    n = e.count()
     for _ in range(most_rounds):
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("root").alias("near"))
-        jump = label.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = label.join(near, label["node"] == near["src"]).join(jump, "root").select("node", F.least("root", "near", "next").alias("root"), F.col("root").alias("old"))
-        new = stored(new, "labels")
-        changed = new.where("root <> old").isEmpty()
-        label = new.select("node", "root")
-        if changed:
-            return label
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-
-
-def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+        while True:
+            e = left.put(e.join(e.select(F.col("dst").alias("src")), "src", "left_semi").join(e.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            n, before = e.count(), n
+            if n == before:
+                break
+        if not n:
+            out = found[0]
+            for f in found[1:]:
+                out = out.union(f)
+            return out.distinct()
+        colour = labels.put(e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("m")).select("node", F.least("node", "m").alias("colour"), F.lit(True).alias("moved")))
+        while not colour.where("moved").isEmpty():
+            near = e.join(colour.where("moved").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("m"))
+            near = colour.join(near, "node", "left")
+            colour = labels.put(near.select("node", F.least("colour", "m").alias("colour"), F.coalesce(F.col("m") < F.col("colour"), F.lit(False)).alias("moved")))
+        c = lambda v: colour.select(F.col("node").alias(v), F.col("colour").alias(f"c_{v}"))
+        same = e.join(c("src"), "src").join(c("dst"), "dst").where("c_src = c_dst")
+        back = reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select("node"), most_rounds)
+        back = stored(back.join(colour.select("node", "colour"), "node").select("node", "colour"), "strong")
+        strong = back.join(back.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1"), "colour").select(F.col("node").alias("claim_id"))
+        found.append(stored(strong, "on-cycles"))
+        gone = back.select(F.col("node").alias("src"))
+        e = left.put(e.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = e.count()
+    raise RuntimeError(f"no end after {most_rounds} rounds")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of undirected edges (src, dst); the root is the smallest node."""
+    return stars.components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+
+
+def topological_levels(edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """(node, level): peeling nodes without incoming edges; nodes on or behind a cycle get no row."""
-    left = stored(oriented(edges, "out"), "edges")
-    nodes = stored(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct(), "nodes")
+    spark = edges.sparkSession
+    held, open_ = Rounds(spark, "edges"), Rounds(spark, "nodes")
+    left = held.put(oriented(edges, "out"))
+    nodes = open_.put(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
     levels = None
     for level in range(most_rounds):
         free = stored(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "level")
-        if free.isEmpty():
-            break
         levels = free if levels is None else levels.unionByName(free)
-        nodes = stored(nodes.join(free, "node", "left_anti").select("node"), "nodes")
-        left = stored(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-    return free if levels is None else levels
+        if free.isEmpty():
+            return levels
+        if level % 16 == 15:  # a plan of bounded size
+            levels = stored(levels, "levels")
+        nodes = open_.put(nodes.join(free, "node", "left_anti").select("node"))
+        left = held.put(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+    raise RuntimeError(f"more than {most_rounds} levels")
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -92,6 +127,7 @@ def clustering(edges: DataFrame) -> DataFrame:
     Each edge points to its end of higher degree, so a hub lists no pairs of its many neighbours.
     """
     e = oriented(edges, "out").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    e = stored(e, "simple")
     deg = e.select(F.col("a").alias("node")).unionAll(e.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
     rank = lambda n: deg.select(F.col("node").alias(n), F.struct("degree", "node").alias(f"r{n}"))
     way = e.join(rank("a"), "a").join(rank("b"), "b").select(F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("hi"))
@@ -129,17 +165,17 @@ def rolled_up(edges: DataFrame, parent_of: DataFrame) -> DataFrame:
     return e.groupBy(F.col("source_id_parent").alias("source_id"), F.col("target_id_parent").alias("target_id")).agg(F.sum("strength").alias("weight"), F.count("*").alias("n"))
 
 
-def roots_of(parents: DataFrame, most_rounds: int = 8) -> DataFrame:
-    """(node, root, hops) of (node, parent) forests by pointer doubling: 2^rounds hops."""
-    now = stored(parents.select("node", F.col("parent").alias("root"), F.lit(1).alias("hops")), "pointers")
+def roots_of(parents: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root, hops) of (node, parent) forests by pointer doubling; a cycle is an error."""
+    rounds = Rounds(parents.sparkSession, "pointers")
+    now = rounds.put(parents.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("hops")))
     for _ in range(most_rounds):
         nxt = now.select(F.col("node").alias("root"), F.col("root").alias("up"), F.col("hops").alias("more"))
-        new = stored(now.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("up").isNotNull().alias("moved")), "pointers")
-        done = new.where("moved").isEmpty()
+        new = rounds.put(now.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("up").isNotNull().alias("moved")))
         now = new.drop("moved")
-        if done:
-            break
-    return now
+        if new.where("moved").isEmpty():
+            return now.withColumn("hops", F.col("hops").cast("int"))
+    raise RuntimeError("parents form a cycle")
 
 
 def degree_rank(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calibration as K
 from ..functions import evidence as E
-from ..session import stored
+from ..session import Rounds, stored
 
 
 def factors(edges: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def _joined(fac: DataFrame, now: DataFrame, cols: list[str]) -> DataFrame:
 
 def scalar_bp(fac: DataFrame, priors: DataFrame, *, damping: float = 0.5, tolerance: float = 0.01, rounds: int = 20) -> DataFrame:
     """(var, belief) after loopy propagation from (var, prior); variables without factors keep theirs."""
-    now = stored(priors.select("var", "prior", F.col("prior").alias("belief")), "beliefs")
+    fac, held = stored(fac, "factors"), Rounds(fac.sparkSession, "beliefs")
+    now = held.put(priors.select("var", "prior", F.col("prior").alias("belief")))
     for _ in range(rounds):
         x = _joined(fac, now, ["belief"])
         a, b = F.coalesce("a_belief", F.lit(0.5)), F.coalesce("b_belief", F.lit(0.5))
@@ -60,7 +61,7 @@ def scalar_bp(fac: DataFrame, priors: DataFrame, *, damping: float = 0.5, tolera
         signal = to_a.unionAll(to_b).groupBy("var").agg(_mean(F.col("m")).alias("signal"))
         raw = 0.5 * F.col("prior") + 0.5 * F.col("signal")
         new = now.join(signal, "var", "left").select("var", "prior", F.coalesce(_held(damping * F.col("belief") + (1 - damping) * raw), "belief").alias("belief"), F.col("belief").alias("old"))
-        new = stored(new, "beliefs")
+        new = held.put(new)
         change = new.agg(F.max(F.abs(F.col("belief") - F.col("old")))).first()[0] or 0.0
         now = new.drop("old")
         if change < tolerance:
@@ -70,7 +71,8 @@ def scalar_bp(fac: DataFrame, priors: DataFrame, *, damping: float = 0.5, tolera
 
 def interval_bp(fac: DataFrame, priors: DataFrame, *, damping: float = 0.5, tolerance: float = 0.01, rounds: int = 20) -> DataFrame:
     """As scalar_bp on (var, bel, pl, ow). Kinds with a direction leave a variable's own interval."""
-    now = stored(priors.select("var", "bel", "pl", "ow", F.struct("bel", "pl", "ow").alias("p")), "intervals")
+    fac, held = stored(fac, "factors"), Rounds(fac.sparkSession, "intervals")
+    now = held.put(priors.select("var", "bel", "pl", "ow", F.struct("bel", "pl", "ow").alias("p")))
     symmetric = F.col("kind").isin("evidential_support", "shared_evidence")
 
     def told(x: DataFrame, var: str, other: str) -> DataFrame:
@@ -87,7 +89,7 @@ def interval_bp(fac: DataFrame, priors: DataFrame, *, damping: float = 0.5, tole
         signal = told(x, "a", "b").unionAll(told(x, "b", "a")).groupBy("var").agg(_mean(F.col("mb")).alias("sb"), _mean(F.col("mp")).alias("sp"), F.max("mo").alias("so"))
         damped = lambda c, s: F.coalesce(_held(damping * F.col(c) + (1 - damping) * (0.5 * F.col(f"p.{c}") + 0.5 * F.col(s))), F.col(c))
         new = now.join(signal, "var", "left").select("var", damped("bel", "sb").alias("bel"), damped("pl", "sp").alias("pl"), F.greatest(F.coalesce("so", "ow"), F.col("p.ow")).alias("ow"), "p", F.greatest(F.abs(damped("bel", "sb") - F.col("bel")), F.abs(damped("pl", "sp") - F.col("pl"))).alias("moved"))
-        new = stored(new, "intervals")
+        new = held.put(new)
         change = new.agg(F.max("moved")).first()[0] or 0.0
         now = new.drop("moved")
         if change < tolerance:
@@ -115,7 +117,8 @@ def mass_bp(fac: DataFrame, evidence: DataFrame, *, damping: float = 0.5, limit:
     independent of partitions; a variable's messages are as many as its factors.
     """
     vacuous = E.binary(F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    now = stored(evidence.select("var", "m", F.col("m").alias("e")), "masses")
+    fac, held = stored(fac, "factors"), Rounds(fac.sparkSession, "masses")
+    now = held.put(evidence.select("var", "m", F.col("m").alias("e")))
 
     def told(x: DataFrame, var: str, other: str) -> DataFrame:
         o = F.coalesce(F.col(f"{other}_m"), vacuous)
@@ -134,7 +137,7 @@ def mass_bp(fac: DataFrame, evidence: DataFrame, *, damping: float = 0.5, limit:
         mixed = mixed.select("var", "e", "old", F.when(F.col("g").isNotNull(), _adaptive(F.col("g"), F.col("e"), limit)).alias("n"))
         part = lambda f: F.coalesce((1 - damping) * F.col("n")[f] + damping * F.col("old")[f], F.col("old")[f])
         new = mixed.select("var", "e", E.binary(*[part(f) for f in ("m0", "m1", "th", "cf", "ms")]).alias("m"), "old")
-        new = stored(new, "masses")
+        new = held.put(new)
         change = new.agg(F.max(F.greatest(F.abs(F.col("m.m0") - F.col("old.m0")), F.abs(F.col("m.m0") + F.col("m.th") - F.col("old.m0") - F.col("old.th"))))).first()[0] or 0.0
         now = new.drop("old")
         if change < tolerance:
@@ -148,6 +151,7 @@ def propagate(edges: DataFrame, truths: DataFrame, source: int, new_truth: float
     Level by level: a claim is moved once, by the reached claim of the smallest id of the level
     before. ``edges`` (source_id, target_id, weight, supporting).
     """
+    edges = stored(edges, "weighted")
     here = truths.where(F.col("claim_id") == source).select("claim_id", F.lit(float(new_truth)).alias("truth_value"), F.lit(0).alias("depth"))
     front = stored(here, "front")
     seen = front

@@ -109,15 +109,15 @@ def bba_discount(t):
 
 
 @plan(f"""SELECT claim_id, evidence_key, evidence_line, agent_id, round(CASE WHEN locality_tag LIKE 'intra%' THEN 1e-1 ELSE 1e0 END
-   * CASE evidence_type WHEN 'testimonial' THEN 25e-2 ELSE {WEIGHT} END, 6) AS alpha FROM bba WHERE evidence_line <= 3""")
+   * CASE evidence_type WHEN 'testimonial' THEN 25e-2 ELSE {WEIGHT} END, 6) AS alpha FROM bba""")
 def perspective_strength(t):
     """Reliability under a perspective's own weight for testimony and its own locality factor."""
     own = K.lookup({"testimonial": 0.25}, F.lower("evidence_type"))
-    return t.bba.where("evidence_line <= 3").select("claim_id", "evidence_key", "evidence_line", "agent_id", R6(alpha(own, 0.1)).alias("alpha"))
+    return t.bba.select("claim_id", "evidence_key", "evidence_line", "agent_id", R6(alpha(own, 0.1)).alias("alpha"))
 
 
 PAIR_SQL = f"""{D_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY created_at, evidence_key, evidence_line, agent_id, m_sup, m_unsup) AS k FROM d),
-p AS (SELECT a.claim_id, a.m0 AS a0, a.m1 AS a1, a.th AS at_, b.m0 AS b0, b.m1 AS b1, b.th AS bt FROM r a JOIN r b ON a.claim_id = b.claim_id AND a.k = 1 AND b.k = 2),
+p AS (SELECT claim_id, max(m0) FILTER (k = 1) AS a0, max(m1) FILTER (k = 1) AS a1, max(th) FILTER (k = 1) AS at_, max(m0) FILTER (k = 2) AS b0, max(m1) FILTER (k = 2) AS b1, max(th) FILTER (k = 2) AS bt FROM r WHERE k <= 2 GROUP BY 1 HAVING count(*) = 2),
 q AS (SELECT claim_id, a0, a1, at_, b0, b1, bt, a0 * b1 + a1 * b0 AS k, a0 * b0 + a0 * bt + at_ * b0 AS c0, a1 * b1 + a1 * bt + at_ * b1 AS c1, at_ * bt AS ct FROM p)"""
 
 
@@ -312,9 +312,9 @@ def refreshed_beliefs(t):
     return rounded(combined(t, rows=masses(t).join(hit, "claim_id", "left_semi")))
 
 
-@plan("""SELECT l_partkey AS claim_id, round(max(greatest(least(CASE l_returnflag WHEN 'R' THEN 0e0 ELSE 6e-1 * l_quantity / 5e1 END, 1e0), 0e0)), 6) AS belief, CASE WHEN max(CASE l_returnflag WHEN 'R' THEN 0e0 ELSE 6e-1 * l_quantity / 5e1 END) >= 59e-2 THEN 'ready' ELSE 'insufficient_belief' END AS verdict FROM lineitem GROUP BY 1""")
+@plan("""SELECT l_partkey AS claim_id, round(max(greatest(least(CASE l_returnflag WHEN 'R' THEN 0e0 ELSE 6e-1 * l_quantity / 5e1 END, 1e0), 0e0)), 6) AS belief, CASE WHEN max(CASE l_returnflag WHEN 'R' THEN 0e0 ELSE 6e-1 * l_quantity / 5e1 END) >= 6e-1 THEN 'ready' ELSE 'insufficient_belief' END AS verdict FROM lineitem GROUP BY 1""")
 def promotion_gate(t):
     """Hypotheses with enough belief to be promoted."""
     x = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(0.6 * F.col("l_quantity") / 50)
     got = t.lineitem.groupBy(F.col("l_partkey").alias("claim_id")).agg(F.max(E.unit(x)).alias("b"))
-    return got.select("claim_id", R6("b").alias("belief"), F.when(F.col("b") >= 0.59, "ready").otherwise("insufficient_belief").alias("verdict"))
+    return got.select("claim_id", R6("b").alias("belief"), F.when(F.col("b") >= K.PROMOTION, "ready").otherwise("insufficient_belief").alias("verdict"))

@@ -11,12 +11,12 @@ from .evidence import TIE, belief_sql, combined, masses, rounded
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
-THIN = "SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE strength >= 98e-2"
-FACTORS = f"SELECT DISTINCT source_id AS a, target_id AS b, CASE relationship WHEN 'supports' THEN 'directional_support' ELSE 'mutual_exclusion' END AS kind, CASE relationship WHEN 'supports' THEN 7e-1 ELSE 0e0 END AS fwd, CASE relationship WHEN 'supports' THEN 15e-2 ELSE 0e0 END AS rev FROM ({THIN}) x WHERE relationship <> 'elaborates'"
+TYPED = "SELECT DISTINCT source_id, target_id, relationship FROM edges"
+FACTORS = f"SELECT DISTINCT source_id AS a, target_id AS b, CASE relationship WHEN 'supports' THEN 'directional_support' ELSE 'mutual_exclusion' END AS kind, CASE relationship WHEN 'supports' THEN 7e-1 ELSE 0e0 END AS fwd, CASE relationship WHEN 'supports' THEN 15e-2 ELSE 0e0 END AS rev FROM ({TYPED}) x WHERE relationship <> 'elaborates'"
 
 
 def _factors(t):
-    return I.factors(t.sql(THIN))
+    return I.factors(t.sql(TYPED))
 
 
 @plan(FACTORS.replace("AS fwd", "AS forward").replace("AS rev ", "AS reverse "))
@@ -70,7 +70,7 @@ def interval_propagation(t):
     return got.select(F.col("var").alias("claim_id"), R6("bel").alias("bel"), R6("pl").alias("pl"))
 
 
-@plan("""WITH f AS (SELECT DISTINCT source_id, target_id FROM edges WHERE strength >= 98e-2 AND relationship <> 'elaborates'), p AS (SELECT claim_id, truth_value * 5e-1 AS bel, truth_value * 5e-1 + 1e-1 AS pl, CASE WHEN size % 3 = 0 THEN 4e-1 ELSE 5e-2 END AS ow FROM claims),
+@plan("""WITH f AS (SELECT DISTINCT source_id, target_id FROM edges WHERE relationship <> 'elaborates'), p AS (SELECT claim_id, truth_value * 5e-1 AS bel, truth_value * 5e-1 + 1e-1 AS pl, CASE WHEN size % 3 = 0 THEN 4e-1 ELSE 5e-2 END AS ow FROM claims),
 e AS (SELECT source_id AS s, target_id AS t FROM f UNION SELECT target_id, source_id FROM f)
 SELECT s AS source, t AS target, round(1 - x.ow, 6) AS reduction, round((x.bel + x.pl) / 2 * (1 - x.pl + x.bel), 6) AS confidence FROM e JOIN p x ON x.claim_id = s JOIN p y ON y.claim_id = t WHERE x.ow < 1e-1 AND x.pl - x.bel < 3e-1 AND y.ow > 3e-1""")
 def frame_closure(t):
@@ -87,7 +87,7 @@ def mass_propagation(t):
     return got.select(F.col("var").alias("claim_id"), *[R6(F.col("m")[k]).alias(k) for k in ("m0", "m1", "th", "cf", "ms")])
 
 
-WEIGHTED = "SELECT source_id, target_id, max(strength) AS weight, max(CASE WHEN relationship = 'supports' THEN 1 ELSE 0 END) = 1 AS supporting FROM edges WHERE relationship <> 'elaborates' AND strength >= 97e-2 GROUP BY 1, 2"
+WEIGHTED = "SELECT source_id, target_id, max(strength) AS weight, max(CASE WHEN relationship = 'supports' THEN 1 ELSE 0 END) = 1 AS supporting FROM edges WHERE relationship <> 'elaborates' GROUP BY 1, 2"
 
 
 @plan(f"""WITH e AS ({WEIGHTED}), z AS (SELECT 7 AS claim_id, 9e-1 AS truth_value),

@@ -46,10 +46,10 @@ def match_scores(t):
     return p.withColumn("s", s).select("a", "b", F.round(F.col("s") + 1e-9, 5).alias("score"), M.band(F.col("s")).alias("band"))
 
 
-@plan("""WITH e AS (SELECT DISTINCT source_id AS c, target_id AS z FROM edges WHERE strength >= 98e-2), d AS (SELECT z, count(*) AS n FROM e GROUP BY 1), p AS (SELECT x.c AS a, y.c AS b, sum(1 / greatest(ln(n), 5e-1)) AS w FROM e x JOIN e y ON x.z = y.z AND x.c < y.c JOIN d ON d.z = x.z GROUP BY 1, 2) SELECT a, b, round((exp(2 * w) - 1) / (exp(2 * w) + 1), 6) AS graph_overlap FROM p""")
+@plan("""WITH e AS (SELECT DISTINCT source_id AS c, target_id AS z FROM edges), d AS (SELECT z, count(*) AS n FROM e GROUP BY 1), p AS (SELECT x.c AS a, y.c AS b, sum(1 / greatest(ln(n), 5e-1)) AS w FROM e x JOIN e y ON x.z = y.z AND x.c < y.c JOIN d ON d.z = x.z GROUP BY 1, 2) SELECT a, b, round((exp(2 * w) - 1) / (exp(2 * w) + 1), 6) AS graph_overlap FROM p""")
 def graph_overlap(t):
     """Common neighbours, each weighing less the more it has; squashed."""
-    e = t.edges.where("strength >= 0.98").select(F.col("source_id").alias("c"), F.col("target_id").alias("z")).distinct()
+    e = t.edges.select(F.col("source_id").alias("c"), F.col("target_id").alias("z")).distinct()
     d = e.groupBy("z").agg(N().alias("n"))
     p = e.withColumnRenamed("c", "a").join(e.withColumnRenamed("c", "b"), "z").where("a < b").join(d, "z")
     w = F.sum(1 / F.greatest(F.ln("n"), F.lit(0.5)))
@@ -98,12 +98,12 @@ def domain_decay(t):
     return x.select("claim_id", "evidence_key", "evidence_line", "agent_id", "domain", R6(Q.domain_weight(F.col("domain"), days)).alias("weight"))
 
 
-@plan("SELECT brand, count(*) AS claims, count(DISTINCT agent_id) AS sources, round(avg(CASE WHEN m_unsup > 0 THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) >= 20 AND count(DISTINCT agent_id) >= 2 AND avg(CASE WHEN m_unsup > 0 THEN 1e0 ELSE 0e0 END) < 32e-2 AS silent FROM bba JOIN claims USING (claim_id) GROUP BY 1")
+@plan("SELECT brand, count(*) AS claims, count(DISTINCT agent_id) AS sources, round(avg(CASE WHEN m_unsup > 0 THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) >= 20 AND count(DISTINCT agent_id) >= 2 AND avg(CASE WHEN m_unsup > 0 THEN 1e0 ELSE 0e0 END) < 2e-2 AS silent FROM bba JOIN claims USING (claim_id) GROUP BY 1")
 def silence_alarm(t):
     """Groups that are contradicted suspiciously seldom."""
     x = t.bba.join(t.claims.select("claim_id", "brand"), "claim_id")
     rate = F.avg((F.col("m_unsup") > 0).cast("double"))
-    return x.groupBy("brand").agg(N().alias("claims"), F.count_distinct("agent_id").alias("sources"), R6(rate).alias("rate"), ((N() >= 20) & (F.count_distinct("agent_id") >= 2) & (rate < 0.32)).alias("silent"))
+    return x.groupBy("brand").agg(N().alias("claims"), F.count_distinct("agent_id").alias("sources"), R6(rate).alias("rate"), ((N() >= 20) & (F.count_distinct("agent_id") >= 2) & (rate < Q.SILENT)).alias("silent"))
 
 
 @plan("SELECT c.claim_id, round(CASE WHEN d > 90 THEN truth_value + 1e-1 * (5e-1 - truth_value) ELSE truth_value END, 6) AS truth_value FROM claims c JOIN (SELECT claim_id, date_diff('day', CAST(max(created_at) AS DATE), DATE '2001-12-31') AS d FROM bba GROUP BY 1) l ON l.claim_id = c.claim_id")

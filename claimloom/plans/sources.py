@@ -8,7 +8,7 @@ from ..operators import graph as G
 from ..operators import inference as I
 from ..session import scratch
 from ..sources import files as S
-from .evidence import D_SQL, masses
+from .evidence import D_SQL, TIE, masses
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
@@ -48,9 +48,10 @@ def amplification(t):
     return t.dag.join(t.bba.select(F.col("claim_id").alias("target_id"), "agent_id"), "target_id").groupBy(F.col("source_id").alias("claim_id")).agg(N().alias("derived"), F.count_distinct("agent_id").alias("carriers"))
 
 
-@plan("SELECT agent_id, count(DISTINCT claim_id) AS claims, round(avg(m_sup), 6) AS support, round(avg(m_unsup), 6) AS refusal, round(avg(1 - m_sup - m_unsup), 6) AS ignorance FROM bba GROUP BY 1")
+@plan("SELECT agent_id, count(DISTINCT claim_id) AS claims, round(avg(m_sup) + 1e-9, 6) AS support, round(avg(m_unsup) + 1e-9, 6) AS refusal, round(avg(1 - m_sup - m_unsup) + 1e-9, 6) AS ignorance FROM bba GROUP BY 1")
 def epistemic_profile(t):
-    return t.bba.groupBy("agent_id").agg(F.count_distinct("claim_id").alias("claims"), R6(F.avg("m_sup")).alias("support"), R6(F.avg("m_unsup")).alias("refusal"), R6(F.avg(1 - F.col("m_sup") - F.col("m_unsup"))).alias("ignorance"))
+    mean = lambda c: R6(F.avg(c) + TIE)
+    return t.bba.groupBy("agent_id").agg(F.count_distinct("claim_id").alias("claims"), mean(F.col("m_sup")).alias("support"), mean(F.col("m_unsup")).alias("refusal"), mean(1 - F.col("m_sup") - F.col("m_unsup")).alias("ignorance"))
 
 
 @plan("""WITH p AS (SELECT claim_id, agent_id, avg(m_sup - m_unsup) AS s FROM bba WHERE agent_id IN (1, 2) GROUP BY 1, 2) SELECT a.claim_id, round(a.s, 6) AS first, round(b.s, 6) AS second, sign(a.s) = sign(b.s) AS agree FROM p a JOIN p b ON a.claim_id = b.claim_id AND a.agent_id = 1 AND b.agent_id = 2""")

@@ -82,6 +82,21 @@ def keep(df: DataFrame, path: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of the rounds of a loop: writing one drops the one before, which nothing needs any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark, self.name)
+        out = keep(df, path)
+        if self.last is not None:
+            drop_path(self.spark, self.last)
+        self.last = path
+        return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path on whatever file system it is."""
     jvm = spark.sparkContext._jvm
