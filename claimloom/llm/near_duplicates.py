@@ -33,10 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
+from ..operators.skew import BROADCAST_BYTES, join_split
 from ..session import stored
-from .components import components
 from .decontamination import words_of
-from .skew import BROADCAST_BYTES, join_split
 from .textblocks import ragged, release, slices
 
 #: Texts of a block: at least SMALL, and beyond SMALL**2 texts in a component more, up to LARGE.

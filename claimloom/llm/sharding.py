@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import BROADCAST_BYTES, join_split, numbered, placed
 from ..session import stored
-from .skew import BROADCAST_BYTES, join_split, numbered, placed
 
 #: Bisection stops at this part of the capacity.
 EVEN = 1 << 16

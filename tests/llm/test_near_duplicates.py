@@ -4,7 +4,7 @@ import re
 import pytest
 
 from claimloom.llm import near_duplicates as N
-from claimloom.llm.components import components
+from claimloom.operators.components import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -92,7 +92,7 @@ def test_recall_next_to_the_threshold(spark):
 
 
 def test_hubs_and_copies_are_split(spark, monkeypatch):
-    from claimloom.llm import skew
+    from claimloom.operators import skew
 
     monkeypatch.setattr(skew, "HOT_ROWS", 1)
     monkeypatch.setattr(skew, "HOT_PARTS", 10)
