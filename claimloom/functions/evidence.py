@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Below this a conflict counts as none, and as total within this of 1.
 TINY = 1e-9
+#: Names that ``redistribute`` knows.
+RULES = ("conjunctive", "tbm_conjunctive", "dempster", "yager_open", "yager_closed", "dubois_prade", "inagaki")
 
 
 def unit(x: Column) -> Column:
@@ -67,6 +69,12 @@ def yager_closed(a: Column, b: Column) -> Column:
     return binary(m["m0"], m["m1"], m["th"] + m["cf"], F.lit(0.0), m["ms"])
 
 
+def yager_open(a: Column, b: Column) -> Column:
+    """Conflict becomes missing mass: the answer may lie outside the frame."""
+    m = conjunctive(a, b)
+    return binary(m["m0"], m["m1"], m["th"], F.lit(0.0), m["ms"] + m["cf"])
+
+
 def dubois_prade(a: Column, b: Column) -> Column:
     """Each conflicting pair's mass goes to its union; for positive masses that is the frame."""
     return yager_closed(a, b)
@@ -81,6 +89,27 @@ def inagaki(a: Column, b: Column, gamma: float) -> Column:
     return F.when(k < TINY, m).otherwise(_scaled(m, by, m["ms"] * by + gamma * k + lost))
 
 
+def redistribute(a: Column, b: Column, method: Column, gamma: float = 0.5) -> Column:
+    """Two masses combined by a named rule; null for a name that is none, and for total conflict under Dempster's.
+
+    All rules scale the conjunctive result and differ in where its conflict goes.
+    """
+
+    def chosen(x: Column) -> Column:
+        m, k, rest, how = x["m"], x["m"]["cf"], x["rest"], x["method"]
+        split = (how == "inagaki") & (k >= TINY)
+        by = F.when(how == "dempster", 1 / (1 - k)).when(split & (rest > TINY), 1 + (1 - gamma) * k / rest).otherwise(F.lit(1.0))
+        frame = F.when(how.isin("yager_closed", "dubois_prade"), k).otherwise(F.lit(0.0))
+        kept = F.when(how.isin("conjunctive", "tbm_conjunctive") | ((how == "inagaki") & (k < TINY)), k).otherwise(F.lit(0.0))
+        lost = F.when(how == "yager_open", k).when(split, gamma * k + F.when(rest < TINY, (1 - gamma) * k).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
+        known = how.isin(*RULES) & ~((how == "dempster") & (F.abs(k - 1) < TINY))
+        return F.when(known, _bound(by, lambda by: binary(m["m0"] * by, m["m1"] * by, m["th"] * by + frame, kept, m["ms"] * by + lost)))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    m = _bound(both, lambda x: conjunctive(x["a"], x["b"]))
+    return _bound(m, lambda m: _bound(F.struct(m.alias("m"), (m["m0"] + m["m1"] + m["th"] + m["ms"]).alias("rest"), method.alias("method")), chosen))
+
+
 def cautious(a: Column, b: Column) -> Column:
     """Least of the commonalities, turned back into masses; for masses without complements."""
     q0, q1 = F.least(a["m0"] + a["th"], b["m0"] + b["th"]), F.least(a["m1"] + a["th"], b["m1"] + b["th"])

@@ -58,6 +58,40 @@ def fused(dense: DataFrame, text: DataFrame, k: int = 60, *, id_col: str = "clai
     return both.withColumn("score", part("rank_dense") + part("rank_text")).orderBy(F.desc("score"), id_col)
 
 
+def hits_with_neighbours(hits: DataFrame, edges: DataFrame, similarity: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most similar neighbours over ``edges`` (source_id, target_id, relationship) of ``hits`` (claim_id).
+
+    An edge is outbound where its source is a hit, else inbound. ``similarity`` (claim_id, similarity).
+    """
+    h = F.broadcast(hits.select(F.col("claim_id").alias("hit")).distinct())  # a page of hits
+    out = edges.join(h, edges["source_id"] == h["hit"], "left_semi").select("source_id", "target_id", "relationship", F.lit("outbound").alias("direction"), F.col("target_id").alias("claim_id"))
+    back = edges.join(h, edges["source_id"] == h["hit"], "left_anti").join(h, edges["target_id"] == h["hit"], "left_semi")
+    back = back.select("source_id", "target_id", "relationship", F.lit("inbound").alias("direction"), F.col("source_id").alias("claim_id"))
+    near = out.unionByName(back).join(similarity, "claim_id")
+    return near.orderBy(F.desc("similarity"), "claim_id", "source_id", "target_id", "relationship").limit(k)
+
+
+def merge_rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """``hits`` (claim_id, rank, ...) with ``score`` and a new ``position``: scored hits by falling score, the rest behind them as they came.
+
+    All other columns, beliefs above all, stay as they are. Hits are a page of results.
+    """
+    x = hits.join(scores.select("claim_id", "score"), "claim_id", "left")
+    w = Window.orderBy(F.desc_nulls_last("score"), "rank")
+    return x.withColumn("position", F.row_number().over(w))
+
+
+def grounded(hits: DataFrame, verdicts: DataFrame, drop: bool) -> DataFrame:
+    """Hits with their ``verdict``; with ``drop`` those judged ungrounded go, those not judged stay."""
+    x = hits.join(verdicts.select("claim_id", "verdict"), "claim_id", "left")
+    return x.where("verdict IS NULL OR verdict <> 'ungrounded'") if drop else x
+
+
+def more_evidence_needed(bel: Column, pl: Column, most: float = 0.1) -> Column:
+    """Whether a belief interval is wider than ``most``."""
+    return F.greatest(pl - bel, F.lit(0.0)) > most
+
+
 def rag_score(similarity: Column, truth: Column, degree: Column) -> Column:
     return 0.6 * similarity + 0.2 * truth + 0.2 * F.least(degree / 10, F.lit(1.0))
 
@@ -104,4 +138,4 @@ def information_value(bel: Column, pl: Column, similarity: Column) -> dict[str,
     return {"score": F.sum(gap * similarity) / F.count("*"), "mean_gap": F.avg(gap), "wide": F.count_if(pl - bel > 0.5), "middling": F.count_if((pl - bel > 0.15) & (pl - bel <= 0.5))}
 
 
-__all__ = ["close_pairs", "cosine", "diverse", "dot", "fused", "information_value", "knn", "knn_join", "lexical", "prior_from_neighbours", "rag_score"]
+__all__ = ["close_pairs", "cosine", "diverse", "dot", "fused", "grounded", "hits_with_neighbours", "information_value", "knn", "knn_join", "lexical", "merge_rerank", "more_evidence_needed", "prior_from_neighbours", "rag_score"]

@@ -134,11 +134,35 @@ _pair_rule("pair_conjunctive", E.conjunctive, "c0", "c1", "ct", "k", "0e0")
 _pair_rule("pair_dempster", E.dempster, "c0 / (1 - k)", "c1 / (1 - k)", "ct / (1 - k)", "0e0", "0e0")
 _pair_rule("pair_yager_closed", E.yager_closed, "c0", "c1", "ct + k", "0e0", "0e0")
 _pair_rule("pair_dubois_prade", E.dubois_prade, "c0", "c1", "ct + a0 * b1 + a1 * b0", "0e0", "0e0")
+_pair_rule("pair_yager_open", E.yager_open, "c0", "c1", "ct", "0e0", "k")
 _pair_rule("pair_inagaki", lambda a, b: E.inagaki(a, b, 0.5), *[f"CASE WHEN k < 1e-9 THEN {c} ELSE {c} * (1 + 5e-1 * k / (1 - k)) END" for c in ("c0", "c1", "ct")], "CASE WHEN k < 1e-9 THEN k ELSE 0e0 END", "CASE WHEN k < 1e-9 THEN 0e0 ELSE 5e-1 * k END")
 _pair_rule("pair_cautious", E.cautious, "least(a0 + at_, b0 + bt) - least(at_, bt)", "least(a1 + at_, b1 + bt) - least(at_, bt)", "least(at_, bt)",
            "greatest(1 - least(a0 + at_, b0 + bt) - least(a1 + at_, b1 + bt) + least(at_, bt), 0e0)", "0e0")
 
 
+# two masses with conflict and missing parts of their own, on which every branch of the rules is reached
+OPEN_SQL = f"""{PAIR_SQL}, o AS (SELECT claim_id, claim_id % 4 / 1e1 AS ua, claim_id % 3 / 1e1 AS ub, claim_id % 5 / 2e1 AS va, a0, a1, at_, b0, b1, bt FROM p),
+w AS (SELECT claim_id, a0 * (1 - ua - va) AS a0, a1 * (1 - ua - va) AS a1, at_ * (1 - ua - va) AS at_, va AS ac, ua AS am, b0 * (1 - ub) AS b0, b1 * (1 - ub) AS b1, bt * (1 - ub) AS bt, 0e0 AS bc, ub AS bm FROM o),
+c AS (SELECT claim_id, a0 * b0 + a0 * bt + at_ * b0 AS c0, a1 * b1 + a1 * bt + at_ * b1 AS c1, at_ * bt AS ct, am * bm AS cm, a0 * b1 + a1 * b0 + ac * (b0 + b1 + bt + bc + bm) + bc * (a0 + a1 + at_ + am) + am * (b0 + b1 + bt) + bm * (a0 + a1 + at_) AS k FROM w),
+g AS (SELECT *, CASE claim_id % 6 WHEN 0 THEN 'conjunctive' WHEN 1 THEN 'dempster' WHEN 2 THEN 'yager_open' WHEN 3 THEN 'yager_closed' WHEN 4 THEN 'inagaki' ELSE 'none' END AS method, c0 + c1 + ct + cm AS rest FROM c)"""
+
+
+@plan(f"""WITH {OPEN_SQL}, f AS (SELECT *, CASE method WHEN 'dempster' THEN 1 / (1 - k) WHEN 'inagaki' THEN CASE WHEN k < 1e-9 THEN 1 ELSE 1 + 5e-1 * k / rest END ELSE 1 END AS y FROM g WHERE method <> 'none')
+SELECT claim_id, method, round(c0 * y, 6) AS m0, round(c1 * y, 6) AS m1, round(ct * y + CASE WHEN method = 'yager_closed' THEN k ELSE 0 END, 6) AS th,
+ round(CASE WHEN method = 'conjunctive' OR method = 'inagaki' AND k < 1e-9 THEN k ELSE 0 END, 6) AS cf, round(cm * y + CASE WHEN method = 'yager_open' THEN k WHEN method = 'inagaki' AND k >= 1e-9 THEN 5e-1 * k ELSE 0 END, 6) AS ms FROM f""")
+def redistributed(t):
+    """Masses with conflict and missing parts combined by the rule that each claim names."""
+    share = lambda n, by: (F.col("claim_id") % n) / by
+
+    def opened(m, cf, ms):
+        return E._bound(m, lambda m: E._bound(1 - cf - ms, lambda left: E.binary(m["m0"] * left, m["m1"] * left, m["th"] * left, cf, ms)))
+
+    x = pairs(t).withColumns({"a": opened(F.col("a"), share(5, 20), share(4, 10)), "b": opened(F.col("b"), F.lit(0.0), share(3, 10))})
+    method = F.element_at(F.array(*map(F.lit, ("conjunctive", "dempster", "yager_open", "yager_closed", "inagaki", "none"))), (F.col("claim_id") % 6 + 1).cast("int"))
+    got = x.select("claim_id", method.alias("method"), E.redistribute(F.col("a"), F.col("b"), method).alias("m")).where("m IS NOT NULL")
+    return got.select("claim_id", "method", *[R6(F.col("m")[k]).alias(k) for k in ("m0", "m1", "th", "cf", "ms")])
+
+
 @plan(f"WITH {PAIR_SQL} SELECT claim_id, round(k, 6) AS k, CASE WHEN k < 1e-1 THEN 'dempster' WHEN k < 5e-1 THEN 'conjunctive' ELSE 'inagaki' END AS rule, CASE WHEN k < 3e-1 THEN 'dempster' ELSE 'conjunctive' END AS adaptive FROM q")
 def pair_conflict_rule(t):
     k = E.conflict(F.col("a"), F.col("b"))
@@ -318,3 +342,44 @@ def promotion_gate(t):
     x = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(0.6 * F.col("l_quantity") / 50)
     got = t.lineitem.groupBy(F.col("l_partkey").alias("claim_id")).agg(F.max(E.unit(x)).alias("b"))
     return got.select("claim_id", R6("b").alias("belief"), F.when(F.col("b") >= K.PROMOTION, "ready").otherwise("insufficient_belief").alias("verdict"))
+
+
+#: A claim belongs to the frames of its size's region.
+FRAMED = "SELECT claim_id, n_nationkey AS perspective_id FROM claims JOIN nation ON n_regionkey = size % 5"
+
+
+@plan(f"""WITH s AS ({belief_sql("perspective_id", "s", "s AS (SELECT d.*, perspective_id FROM d JOIN agents USING (agent_id)),")}), f AS ({FRAMED})
+SELECT f.claim_id, f.perspective_id, coalesce(n_sources, 0) AS n_sources, coalesce(belief, 0e0) AS belief, coalesce(plausibility, 1e0) AS plausibility, coalesce(betp, 5e-1) AS betp, coalesce(classification, 'not_enough_info') AS classification FROM f LEFT JOIN s ON s.claim_id = f.claim_id AND s.perspective_id = f.perspective_id""")
+def framed_belief(t):
+    """Belief of each claim in each frame that it is assigned to; without masses there it is vacuous."""
+    rows = masses(t).join(t.agents.select("agent_id", "perspective_id"), "agent_id")
+    got = t.sql(FRAMED).join(rounded(combined(t, "perspective_id", rows=rows)), ["claim_id", "perspective_id"], "left")
+    none = {"n_sources": F.lit(0), "belief": F.lit(0.0), "plausibility": F.lit(1.0), "betp": F.lit(0.5), "classification": F.lit("not_enough_info")}
+    return got.select("claim_id", "perspective_id", *[F.coalesce(F.col(k), v).alias(k) for k, v in none.items()])
+
+
+LATE = "2001-10-20"
+
+
+@plan(f"""WITH n AS (SELECT DISTINCT claim_id FROM bba WHERE created_at >= TIMESTAMP '{LATE}'), o AS ({belief_sql(source=f"(SELECT d.* FROM d WHERE created_at < TIMESTAMP '{LATE}' AND claim_id IN (SELECT claim_id FROM n))")}), x AS ({belief_sql(source="(SELECT d.* FROM d WHERE claim_id IN (SELECT claim_id FROM n))")})
+SELECT n.claim_id, coalesce(o.n_sources, 0) AS sources_before, x.n_sources AS sources_after, coalesce(o.belief, 0e0) AS belief_before, x.belief AS belief_after, coalesce(o.plausibility, 1e0) AS plausibility_before, x.plausibility AS plausibility_after, x.conflict FROM n JOIN x ON x.claim_id = n.claim_id LEFT JOIN o ON o.claim_id = n.claim_id""")
+def submitted_evidence(t):
+    """A batch of new evidence: discounted, stored beside the old, and the belief of the claims it touches before and after."""
+    late = F.lit(LATE).cast("timestamp_ntz")
+    hit = t.bba.where(F.col("created_at") >= late).select("claim_id").distinct()
+    rows = masses(t).join(hit, "claim_id", "left_semi")
+    before = rounded(combined(t, rows=rows.where(F.col("created_at") < late))).select("claim_id", F.col("n_sources").alias("sources_before"), F.col("belief").alias("belief_before"), F.col("plausibility").alias("plausibility_before"))
+    after = rounded(combined(t, rows=rows)).select("claim_id", F.col("n_sources").alias("sources_after"), F.col("belief").alias("belief_after"), F.col("plausibility").alias("plausibility_after"), "conflict")
+    return after.join(before, "claim_id", "left").fillna({"sources_before": 0, "belief_before": 0.0, "plausibility_before": 1.0})
+
+
+@plan(f"""WITH e AS (SELECT *, CASE WHEN created_at < TIMESTAMP '1995-01-01' THEN 'expired' WHEN evidence_type = 'testimonial' THEN 'discounted' ELSE 'kept' END AS context FROM bba)
+SELECT claim_id, evidence_key, evidence_line, agent_id, context, round(CASE context WHEN 'expired' THEN 0 WHEN 'discounted' THEN 7e-1 ELSE 1 END * m_sup, 6) AS m0, round(CASE context WHEN 'expired' THEN 0 WHEN 'discounted' THEN 7e-1 ELSE 1 END * m_unsup, 6) AS m1,
+ round(1 - CASE context WHEN 'expired' THEN 0 WHEN 'discounted' THEN 7e-1 ELSE 1 END * (m_sup + m_unsup), 6) AS th FROM e""")
+def context_masses(t):
+    """Contexts of a frame: what falls outside one is vacuous, a discount moves mass to the frame."""
+    context = F.when(F.col("created_at") < F.lit("1995-01-01").cast("timestamp_ntz"), "expired").when(F.col("evidence_type") == "testimonial", "discounted").otherwise("kept")
+    x = masses(t).withColumn("context", context)
+    kept = K.lookup({"expired": 0.0, "discounted": 0.7, "kept": 1.0}, F.col("context"))
+    m = E.discount(F.col("raw"), kept)
+    return x.select("claim_id", "evidence_key", "evidence_line", "agent_id", "context", *[R6(m[k]).alias(k) for k in ("m0", "m1", "th")])

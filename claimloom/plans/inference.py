@@ -42,7 +42,19 @@ def scalar_propagation(t):
     return got.select(F.col("var").alias("claim_id"), R6("belief").alias("belief"))
 
 
-@plan()
+def _converged_sql(rounds: int = 20) -> str:
+    """As ``_bp_sql``, with rounds that change nothing once one has moved no belief by a hundredth."""
+    steps = ["b0 AS MATERIALIZED (SELECT claim_id AS var, truth_value AS prior, truth_value AS belief, false AS done FROM claims)"]
+    for k in range(rounds):
+        steps.append(f"""m{k} AS (SELECT a AS var, CASE kind WHEN 'mutual_exclusion' THEN 1 - y.belief ELSE rev * y.belief END AS m FROM f JOIN b{k} y ON y.var = b
+            UNION ALL SELECT b, CASE kind WHEN 'mutual_exclusion' THEN 1 - x.belief ELSE fwd * x.belief END FROM f JOIN b{k} x ON x.var = a),
+        s{k} AS (SELECT var, least(greatest(exp(avg(ln(greatest(m, 1e-12)))), 1e-2), 99e-2) AS s FROM m{k} GROUP BY 1),
+        n{k} AS (SELECT b.var, b.prior, b.belief AS old, b.done, CASE WHEN s IS NULL OR b.done THEN b.belief ELSE least(greatest(5e-1 * b.belief + 5e-1 * (5e-1 * b.prior + 5e-1 * s), 1e-2), 99e-2) END AS belief FROM b{k} b LEFT JOIN s{k} s ON s.var = b.var),
+        b{k + 1} AS MATERIALIZED (SELECT var, prior, belief, done OR max(abs(belief - old)) OVER () < 1e-2 AS done FROM n{k})""")
+    return f"WITH f AS MATERIALIZED ({FACTORS}), " + ", ".join(steps) + f" SELECT var AS claim_id, round(belief, 6) AS belief FROM b{rounds}"
+
+
+@plan(_converged_sql())
 def scalar_propagation_converged(t):
     """Until no belief moves by a hundredth, or 20 rounds."""
     priors = t.claims.select(F.col("claim_id").alias("var"), F.col("truth_value").alias("prior"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
-from .evidence import combined, rounded
+from .evidence import belief_sql, combined, rounded
 from .registry import plan
 
 R6 = lambda c: F.round(c, 6)
@@ -114,7 +115,8 @@ def hypothesis_prior(t):
     return near.agg(R6(x["prior"]).alias("prior"), x["kind"].alias("kind"))
 
 
-@plan()
+@plan(f"""WITH b AS ({belief_sql()}), {V}, s AS (SELECT vec_id AS claim_id, {COS} AS s FROM v, q ORDER BY {COS} DESC, vec_id LIMIT 50), x AS (SELECT plausibility - belief AS gap, s FROM s JOIN b USING (claim_id))
+SELECT round(sum(greatest(gap, 0) * s) / count(*), 6) AS score, round(avg(greatest(gap, 0)), 6) AS mean_gap, count_if(gap > 5e-1) AS wide, count_if(gap > 15e-2 AND gap <= 5e-1) AS middling FROM x""")
 def information_value(t):
     """What more evidence near a vector would be worth."""
     b = rounded(combined(t)).select("claim_id", "belief", "plausibility")
@@ -139,3 +141,57 @@ def batched_context(t):
     w = Window.partitionBy("conv_id")
     x = t.conversations.select("conv_id", "turn", "role", F.count("*").over(w).alias("siblings"), F.lag("role").over(w.orderBy("turn")).alias("before_role"), F.lead("role").over(w.orderBy("turn")).alias("after_role"))
     return x.where("role = 'assistant'")
+
+
+FOUND = f"""{V}, s AS (SELECT vec_id AS claim_id, {COS} AS similarity FROM v, q), h AS (SELECT s.claim_id, similarity, truth_value, row_number() OVER (ORDER BY similarity DESC, s.claim_id) AS rank FROM s JOIN claims c ON c.claim_id = s.claim_id
+  WHERE s.claim_id <> 17 AND similarity >= 5e-2 AND truth_value >= 2e-1 AND price < 98e1 ORDER BY similarity DESC, s.claim_id LIMIT 20)"""
+
+
+def _similarities(t):
+    q = F.array(*[F.lit(x) for x in _query(t)])
+    return t.vectors.select("claim_id", F.round(R.cosine(F.col("vec"), q), 9).alias("similarity"))
+
+
+def _found(t):
+    """The first page of a search with a floor under the similarity and filters on the claim."""
+    c = t.claims.where("truth_value >= 0.2 AND price < 980").select("claim_id", "truth_value")
+    page = _similarities(t).where("claim_id <> 17 AND similarity >= 0.05").join(c, "claim_id").orderBy(F.desc("similarity"), "claim_id").limit(20)
+    return page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "claim_id")))  # of the page's rows
+
+
+@plan(f"WITH {FOUND} SELECT claim_id, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity, truth_value FROM h")
+def semantic_search(t):
+    return _found(t).select("claim_id", "rank", R6("similarity").alias("similarity"), "truth_value")
+
+
+@plan(f"""WITH {FOUND}, e AS (SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE relationship IN ('supports', 'contradicts')),
+n AS (SELECT *, CASE WHEN source_id IN (SELECT claim_id FROM h) THEN 'outbound' ELSE 'inbound' END AS direction, CASE WHEN source_id IN (SELECT claim_id FROM h) THEN target_id ELSE source_id END AS claim_id FROM e WHERE source_id IN (SELECT claim_id FROM h) OR target_id IN (SELECT claim_id FROM h))
+SELECT source_id, target_id, relationship, direction, n.claim_id, round(similarity, 6) AS similarity FROM n JOIN s USING (claim_id) ORDER BY s.similarity DESC, n.claim_id, source_id, target_id, relationship LIMIT 50""")
+def semantic_neighbours(t):
+    """One hop around the hits, the closest to the query first."""
+    e = t.edges.where("relationship IN ('supports', 'contradicts')").select("source_id", "target_id", "relationship").distinct()
+    return R.hits_with_neighbours(_found(t), e, _similarities(t), 50).select("source_id", "target_id", "relationship", "direction", "claim_id", R6("similarity").alias("similarity"))
+
+
+RELEVANT = "SELECT claim_id, size / 5e1 AS score FROM claims WHERE price > 93e1"
+
+
+@plan(f"WITH {FOUND}, r AS ({RELEVANT}) SELECT h.claim_id, CAST(rank AS INT) AS rank, truth_value, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, rank) AS INT) AS position FROM h LEFT JOIN r ON r.claim_id = h.claim_id")
+def rerank_merge(t):
+    """A page in the order of a second opinion, with its beliefs untouched."""
+    return R.merge_rerank(_found(t), t.sql(RELEVANT)).select("claim_id", "rank", "truth_value", "score", "position")
+
+
+VERDICTS = "SELECT claim_id, CASE WHEN truth_value < 5e-1 THEN 'ungrounded' ELSE 'grounded' END AS verdict FROM claims WHERE price > 95e1"
+
+
+@plan(f"WITH {FOUND}, r AS ({VERDICTS}) SELECT h.claim_id, CAST(rank AS INT) AS rank, verdict FROM h LEFT JOIN r ON r.claim_id = h.claim_id WHERE verdict IS NULL OR verdict = 'grounded'")
+def groundedness(t):
+    return R.grounded(_found(t), t.sql(VERDICTS), drop=True).select("claim_id", "rank", "verdict")
+
+
+@plan(f"WITH b AS ({belief_sql()}) SELECT claim_id, round(greatest(plausibility - belief, 0), 6) AS ignorance, greatest(plausibility - belief, 0) > 1e-1 AS include FROM b")
+def belief_gate(t):
+    """Whether a claim's interval is still so wide that more evidence is worth reading."""
+    b = rounded(combined(t))
+    return b.select("claim_id", R6(F.greatest(F.col("plausibility") - F.col("belief"), F.lit(0.0))).alias("ignorance"), R.more_evidence_needed(F.col("belief"), F.col("plausibility")).alias("include"))
