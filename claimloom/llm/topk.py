@@ -194,7 +194,7 @@ def search(file: DataFrame, queries: DataFrame, k: int = 10, factor: int = 1024)
 
     distinct = stored(integer_rows(queries, factor).groupBy("id").agg(F.min("vec").alias("vec")), "queries")
     size = distinct.agg(F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0))).first()[0]
-    asked = distinct.repartition(max(1, 8 * size // QUERY_BYTES), "id").select("id", "vec")
+    asked = distinct.coalesce(max(1, 8 * size // QUERY_BYTES)).select("id", "vec")  # few blocks that are not full
     asked = stored(asked.mapInArrow(gather, "dim int, ids binary, exact binary").withColumn("number", F.monotonically_increasing_id()), "query-blocks")
     found = None
     for number in [r["number"] for r in asked.select("number").collect()]:  # one for each QUERY_BYTES of queries
