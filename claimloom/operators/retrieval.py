@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .cluster import cosine, dot
 
 
@@ -17,21 +21,67 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, *, where: Column | N
     return v.select("claim_id", F.round(cosine(F.col("vec"), q), 9).alias("similarity")).orderBy(F.desc("similarity"), "claim_id").limit(k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+def _unit_rows(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, unit vectors) of the vectors of each length; null, zero and non-finite ones are left out."""
+    length = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    values = np.asarray(lists.flatten().cast(pa.float64()).fill_null(np.nan))
+    ends = np.cumsum(length)
+    for dim in np.unique(length[length > 0]).tolist():
+        mine = np.flatnonzero(length == dim)
+        v = values[(ends[mine] - dim)[:, None] + np.arange(dim)]
+        size = np.sqrt((v * v).sum(axis=1))
+        ok = np.isfinite(size) & (size > 0)
+        yield dim, np.asarray(ids)[mine[ok]], v[ok] / size[ok, None]
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = 4 << 20) -> DataFrame:
     """(query_id, rank, claim_id, similarity) of each query (query_id, query).
 
-    Vectors are dealt to blocks, queries go to every block as one gathered row for each chunk
-    of 256, and a block returns only the k best of each query.
+    Queries are asked in blocks of about ``query_bytes``, each broadcast; the vectors stay where
+    they are, are scored as matrices, and a task gives the k best of a query only. Vectors
+    that are null, zero or not finite take no part; ties go to the smaller id.
     """
-    packed = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // 256)))).groupBy("chunk").agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("claim_id"), F.lit(blocks)).cast("int"))
-    met = dealt.join(packed, "block").select("block", "claim_id", "vec", F.explode("qs").alias("q"))
-    scored = met.where(F.col("claim_id") != F.col("q.query_id")).select("block", "claim_id", F.col("q.query_id").alias("query_id"), F.round(cosine(F.col("vec"), F.col("q.query")), 9).alias("similarity"))
-    near = Window.partitionBy("query_id", "block").orderBy(F.desc("similarity"), "claim_id")
-    local = scored.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).drop("r")
+    spark = vectors.sparkSession
+    asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query")).where("query_id IS NOT NULL"), "queries")
+    size = asked.agg(F.coalesce(F.sum(F.size("query").cast("long")), F.lit(0))).first()[0]
+    blocks = int(-(-8 * size // query_bytes)) or 1
+    rows = vectors.select(F.col("claim_id").cast("long").alias("claim_id"), F.col("vec").cast("array<double>").alias("vec")).where("claim_id IS NOT NULL")
+    found = None
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow().combine_chunks()  # query_bytes, about
+        by_dim = {dim: (ids, v) for dim, ids, v in _unit_rows(held["query_id"].combine_chunks(), held["query"].combine_chunks())} if held.num_rows else {}
+        part = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(by_dim), k), "query_id long, claim_id long, similarity double")
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "claim_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "claim_id", "similarity")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "claim_id", "similarity")
+
+
+def _nearest(sent, k: int, step: int = 256):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0), np.zeros(0, np.int64))
+        held = {dim: [none] * len(ids) for dim, (ids, _) in sent.value.items()}
+        for batch in batches:
+            for dim, ids, v in _unit_rows(batch.column(0), batch.column(1)):
+                if dim not in held:
+                    continue
+                q_ids, q = sent.value[dim]
+                for at in range(0, len(q), step):
+                    scores = np.round(q[at : at + step] @ v.T, 9)
+                    for i, row in enumerate(scores, at):
+                        old, old_ids = held[dim][i]
+                        some = np.flatnonzero((row >= old[-1] if len(old) == k else row > -2) & (ids != q_ids[i]))
+                        if len(some):
+                            both, names = np.concatenate((old, row[some])), np.concatenate((old_ids, ids[some]))
+                            order = np.lexsort((names, -both))[:k]
+                            held[dim][i] = both[order], names[order]
+        for dim, best in held.items():
+            times = [len(s) for s, _ in best]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(sent.value[dim][0], times)), pa.array(np.concatenate([i for _, i in best] or [none[1]])), pa.array(np.concatenate([s for s, _ in best] or [none[0]]) + 0.0)],
+                ["query_id", "claim_id", "similarity"],
+            )
+
+    return run
 
 
 def lexical(docs: DataFrame, terms: Sequence[str], *, id_col: str = "claim_id", text_col: str = "content") -> DataFrame:
@@ -106,8 +156,6 @@ def close_pairs(vectors: DataFrame, most: float, group: str) -> DataFrame:
 
 def diverse(candidates: list[tuple[int, float, list[float]]], k: int, trade: float = 0.5) -> list[int]:
     """Greedy pick of k of a page of candidates (id, score, vector): score less the closeness to what is picked."""
-    import numpy as np
-
     if not candidates:
         return []
     ids = [c[0] for c in candidates]

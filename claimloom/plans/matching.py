@@ -49,11 +49,78 @@ def match_scores(t):
 @plan("""WITH e AS (SELECT DISTINCT source_id AS c, target_id AS z FROM edges), d AS (SELECT z, count(*) AS n FROM e GROUP BY 1), p AS (SELECT x.c AS a, y.c AS b, sum(1 / greatest(ln(n), 5e-1)) AS w FROM e x JOIN e y ON x.z = y.z AND x.c < y.c JOIN d ON d.z = x.z GROUP BY 1, 2) SELECT a, b, round((exp(2 * w) - 1) / (exp(2 * w) + 1), 6) AS graph_overlap FROM p""")
 def graph_overlap(t):
     """Common neighbours, each weighing less the more it has; squashed."""
-    e = t.edges.select(F.col("source_id").alias("c"), F.col("target_id").alias("z")).distinct()
-    d = e.groupBy("z").agg(N().alias("n"))
-    p = e.withColumnRenamed("c", "a").join(e.withColumnRenamed("c", "b"), "z").where("a < b").join(d, "z")
-    w = F.sum(1 / F.greatest(F.ln("n"), F.lit(0.5)))
-    return p.groupBy("a", "b").agg(R6(F.tanh(w)).alias("graph_overlap"))
+    return M.common_neighbours(t.edges).select("a", "b", R6("graph_overlap").alias("graph_overlap"))
+
+
+VECS = "v AS (SELECT vec_id, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS v FROM embeddings)"
+
+
+@plan(f"""WITH {VECS}, s AS (SELECT x.vec_id AS i, y.vec_id AS j, round(list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 9) AS s FROM v x JOIN v y ON x.vec_id <> y.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM s)
+SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM r WHERE k <= 5 AND s >= 2e-1""")
+def match_nearest(t):
+    """Candidates by nearest vectors."""
+    return M.block_nearest(t.vectors, 5, 0.2)
+
+
+TRIPLES = "SELECT DISTINCT subject_id AS claim_id, predicate, object_id FROM triples"
+
+
+@plan(f"WITH x AS ({TRIPLES}) SELECT l.claim_id AS a, r.claim_id AS b FROM x l JOIN x r ON l.predicate = r.predicate AND l.object_id = r.object_id AND l.claim_id < r.claim_id GROUP BY 1, 2 HAVING count(*) >= 8")
+def match_shared_triples(t):
+    """Candidates by triples in common."""
+    return M.block_shared(t.sql(TRIPLES), ["predicate", "object_id"], least=8)
+
+
+@plan("SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id")
+def match_equal_content(t):
+    """Candidates by equal content, by digest."""
+    return M.block_shared(t.documents.select(F.col("doc_id").alias("claim_id"), F.sha2("text", 256).alias("digest")), ["digest"])
+
+
+@plan("SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id")
+def match_same_cluster(t):
+    """Candidates of one cluster."""
+    return M.block_shared(t.vectors.select("claim_id", "theme_id"), ["theme_id"])
+
+
+@plan(f"WITH {BLOCKED}, k AS (SELECT claim_id FROM claims WHERE truth_value >= 2e-1 AND price < 98e1) SELECT a, b, n_blockers FROM p WHERE a IN (SELECT claim_id FROM k) AND b IN (SELECT claim_id FROM k)")
+def match_eligible(t):
+    return M.eligible(_pairs(t), t.claims.where("truth_value >= 0.2 AND price < 980"))
+
+
+def _jac(x: str) -> str:
+    return f"len(list_intersect({x}a.o, {x}b.o)) / len(list_distinct(list_concat({x}a.o, {x}b.o)))"
+
+
+NINE = ("embed_cosine", "triple_overlap", "entity_jaccard", "method_match", "nbhd_overlap", "citation_overlap", "graph_overlap", "belief_alignment", "theme_proximity")
+_TOP = " + ".join(f"coalesce({w!r} * {f}, 0)" for f, w in M.WEIGHTS.items())
+_LOW = " + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE {w!r} END" for f, w in M.WEIGHTS.items())
+
+
+@plan(f"""WITH {BLOCKED}, {VECS}, ts AS (SELECT subject_id AS claim_id, list(DISTINCT concat(predicate, ':', object_id)) AS o FROM triples GROUP BY 1), es AS (SELECT subject_id AS claim_id, list(DISTINCT object_id) AS o FROM triples GROUP BY 1),
+cs AS (SELECT source_id AS claim_id, list(DISTINCT target_id) AS o FROM edges WHERE relationship = 'elaborates' GROUP BY 1), n AS (SELECT DISTINCT source_id AS c, target_id AS z FROM edges), d AS (SELECT z, count(*) AS n FROM n GROUP BY 1),
+g AS (SELECT x.c AS a, y.c AS b, sum(1 / greatest(ln(n), 5e-1)) AS w FROM n x JOIN n y ON x.z = y.z AND x.c < y.c JOIN d ON d.z = x.z GROUP BY 1, 2),
+f AS (SELECT p.a, p.b, list_dot_product(va.v, vb.v) / (sqrt(list_dot_product(va.v, va.v)) * sqrt(list_dot_product(vb.v, vb.v))) AS embed_cosine, {_jac('t')} AS triple_overlap, {_jac('e')} AS entity_jaccard,
+ CASE WHEN x.size % 4 = 0 OR y.size % 4 = 0 THEN NULL WHEN x.size % 4 = y.size % 4 THEN 1e0 ELSE 0e0 END AS method_match, CASE WHEN x.brand = y.brand THEN 1e0 ELSE 0e0 END AS nbhd_overlap, {_jac('c')} AS citation_overlap,
+ (exp(2 * w) - 1) / (exp(2 * w) + 1) AS graph_overlap, 1 - 2 * abs(x.truth_value - y.truth_value) AS belief_alignment, CASE WHEN x.kind = y.kind THEN 1e0 ELSE 0e0 END AS theme_proximity
+ FROM p JOIN claims x ON x.claim_id = p.a JOIN claims y ON y.claim_id = p.b LEFT JOIN v va ON va.vec_id = p.a LEFT JOIN v vb ON vb.vec_id = p.b LEFT JOIN ts ta ON ta.claim_id = p.a LEFT JOIN ts tb ON tb.claim_id = p.b
+ LEFT JOIN es ea ON ea.claim_id = p.a LEFT JOIN es eb ON eb.claim_id = p.b LEFT JOIN cs ca ON ca.claim_id = p.a LEFT JOIN cs cb ON cb.claim_id = p.b LEFT JOIN g ON g.a = p.a AND g.b = p.b)
+SELECT a, b, {', '.join(f'round({n} + 1e-9, 6) AS {n}' for n in NINE)}, round(({_TOP}) / ({_LOW}) + 1e-9, 5) AS score FROM f""")
+def match_features(t):
+    """All nine features of each candidate and their weighted mean; a missing feature leaves the weights."""
+    p = _pairs(t).select("a", "b")
+    triple = t.triples.withColumn("claim_id", F.col("subject_id"))
+    cites = t.edges.where("relationship = 'elaborates'").select(F.col("source_id").alias("claim_id"), "target_id")
+    for rows, value, name in ((triple, F.concat_ws(":", "predicate", "object_id"), "triple_overlap"), (triple, F.col("object_id"), "entity_jaccard"), (cites, F.col("target_id"), "citation_overlap")):
+        p = M.overlap(p, M.sets(rows, value), name)
+    side = lambda v: t.claims.select(F.col("claim_id").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in ("truth_value", "kind", "brand", "size")])
+    vec = lambda v: t.vectors.select(F.col("claim_id").alias(v), F.col("vec").alias(f"vec_{v}"))
+    p = p.join(side("a"), "a").join(side("b"), "b").join(vec("a"), "a", "left").join(vec("b"), "b", "left").join(M.common_neighbours(t.edges), ["a", "b"], "left")
+    same = lambda c: (F.col(f"{c}_a") == F.col(f"{c}_b")).cast("double")
+    method = F.when((F.col("size_a") % 4 != 0) & (F.col("size_b") % 4 != 0), (F.col("size_a") % 4 == F.col("size_b") % 4).cast("double"))
+    p = p.withColumns({"embed_cosine": cosine(F.col("vec_a"), F.col("vec_b")), "method_match": method, "nbhd_overlap": same("brand"), "theme_proximity": same("kind"), "belief_alignment": 1 - 2 * F.abs(F.col("truth_value_a") - F.col("truth_value_b"))})
+    score = M.score({n: F.col(n) for n in NINE})
+    return p.select("a", "b", *[R6(F.col(n) + 1e-9).alias(n) for n in NINE], F.round(score + 1e-9, 5).alias("score"))
 
 
 @plan("""WITH o AS (SELECT agent_id, truth_value AS x, m_unsup > 6e-1 AS r, date_diff('day', CAST(created_at AS DATE), DATE '2001-12-31') AS age FROM bba JOIN claims USING (claim_id)),

@@ -34,7 +34,7 @@ def scoped_knn(t):
 def knn_candidates(t):
     """Bridge candidates: the nearest of each of a stated set of queries."""
     q = t.vectors.where("claim_id % 100 = 0").select(F.col("claim_id").alias("query_id"), F.col("vec").alias("query"))
-    return R.knn_join(q, t.vectors, 5, blocks=8).select("query_id", "rank", "claim_id", R6("similarity").alias("similarity"))
+    return R.knn_join(q, t.vectors, 5).select("query_id", "rank", "claim_id", R6("similarity").alias("similarity"))
 
 
 TERMS = ("the", "of", "tion")
