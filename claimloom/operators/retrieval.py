@@ -87,7 +87,9 @@ def _nearest(sent, k: int, step: int = 256):
 def lexical(docs: DataFrame, terms: Sequence[str], *, id_col: str = "claim_id", text_col: str = "content") -> DataFrame:
     """(id, score): BM25 of the query's terms. Only matching words leave the scan, with partial counts."""
     words = F.filter(F.split(F.lower(text_col), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    d = docs.select(id_col, F.size(words).alias("len"), F.filter(words, lambda w: w.isin(*terms)).alias("hits"))
+    # bound once: a higher-order function evaluates its argument anew wherever it stands
+    both = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*terms)).alias("hits")))[0]
+    d = stored(docs.select(id_col, both.alias("x")).select(id_col, "x.len", "x.hits"), "hits")  # no texts: read for the statistics and the scores
     stat = d.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
     tf = d.select(id_col, "len", F.explode("hits").alias("term")).groupBy(id_col, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

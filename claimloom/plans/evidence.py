@@ -38,7 +38,7 @@ def combined(t: Tables, *keys: str, rows: DataFrame | None = None) -> DataFrame:
     """Belief of each claim (and key). One group is the sources of one claim."""
     rows = masses(t) if rows is None else rows
     opposing = F.max((E.measures(F.col("raw"))["betp_unsup"] > K.OPPOSING).cast("int")) == 1
-    got = rows.groupBy("claim_id", *keys).agg(F.count("*").alias("n_sources"), E.fold(F.collect_list("m")).alias("m"), opposing.alias("has_opposing"))
+    got = C.folded(rows.groupBy("claim_id", *keys).agg(F.count("*").alias("n_sources"), F.collect_list("m").alias("m"), opposing.alias("has_opposing")), "m")
     x = E.measures(F.col("m"))
     label = E.classify(x["conflict"], x["theta"], x["betp"], x["betp_unsup"], F.col("has_opposing"), nei=K.NEI, support=K.SUPPORT, limit=K.CONFLICT)
     return got.select("claim_id", *keys, "n_sources", *[x[k].alias(k) for k in ("belief", "plausibility", "betp", "betp_unsup", "conflict", "missing", "theta")], label.alias("classification"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..operators import cluster as C
 from ..operators import inference as I
+from ..operators.combine import folded
 from .evidence import TIE, belief_sql, combined, masses, rounded
 from .registry import plan
 
@@ -94,7 +95,7 @@ def frame_closure(t):
 @plan()
 def mass_propagation(t):
     """Propagation with mass functions as messages."""
-    own = masses(t).groupBy("claim_id").agg(E.fold(F.collect_list("m")).alias("m"))
+    own = folded(masses(t).groupBy("claim_id").agg(F.collect_list("m").alias("m")), "m")
     got = I.mass_bp(_factors(t), own.select(F.col("claim_id").alias("var"), "m"), rounds=3)
     return got.select(F.col("var").alias("claim_id"), *[R6(F.col("m")[k]).alias(k) for k in ("m0", "m1", "th", "cf", "ms")])
 

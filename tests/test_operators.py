@@ -32,6 +32,8 @@ def test_native_fold_equals_general_fold(spark, seed):
     shuffled = random.Random(1).sample(ms, len(ms))
     rows = spark.createDataFrame(shuffled, "a double, b double, c double").agg(F.collect_list(E.binary(F.col("a"), F.col("b"), F.col("c"))).alias("ms"))
     got = rows.select(E.fold("ms").alias("m")).first()["m"]
+    again = combine.folded(rows.select("ms"), "ms").first()["ms"]
+    assert all(abs(again[k] - got[k]) < 1e-12 for k in combine.PARTS)
     for key, name in (((1, False), "m0"), ((2, False), "m1"), ((3, False), "th"), ((0, False), "cf"), ((3, True), "ms")):
         assert got[name] == pytest.approx(want.get(key, 0.0), abs=1e-9)
 
