@@ -51,11 +51,11 @@ def epistemic_neighbourhood(t):
     return _named(G.reach(G.oriented(e, "both"), t.claims.where("claim_id = 7").select(F.col("claim_id").alias("node")), 2))
 
 
-@plan(_reach_sql("SELECT claim_id AS node FROM claims WHERE claim_id IN (3, 11, 42)", "SELECT source_id AS src, target_id AS dst FROM edges WHERE relationship IN ('supports', 'elaborates') AND strength > 96e-2", 2,
+@plan(_reach_sql("SELECT claim_id AS node FROM claims WHERE claim_id IN (3, 11, 42)", "SELECT source_id AS src, target_id AS dst FROM edges WHERE relationship IN ('supports', 'elaborates')", 2,
       "SELECT node AS claim_id, CAST(min(depth) AS INT) AS hops, round(pow(7e-1, min(depth)), 6) AS decay FROM w WHERE node NOT IN (3, 11, 42) GROUP BY 1 ORDER BY hops, claim_id LIMIT 200"))
 def seed_expansion(t):
     """Supporting neighbours of seeds in few hops; the cut at 200 is by hops, then id."""
-    e = t.edges.where("relationship IN ('supports', 'elaborates') AND strength > 0.96")
+    e = t.edges.where("relationship IN ('supports', 'elaborates')")
     seeds = t.claims.where("claim_id IN (3, 11, 42)").select(F.col("claim_id").alias("node"))
     got = G.reach(G.oriented(e, "out"), seeds, 2, include_seeds=False)
     return got.orderBy("depth", "node").limit(200).select(F.col("node").alias("claim_id"), F.col("depth").alias("hops"), R6(F.pow(F.lit(0.7), "depth")).alias("decay"))

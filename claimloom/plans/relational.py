@@ -92,9 +92,9 @@ def full_join_sides(t):
     return side("m_sup", "n_for").join(side("m_unsup", "n_against"), "claim_id", "full")
 
 
-@plan("SELECT claim_id, content FROM claims WHERE claim_id IN (SELECT claim_id FROM bba WHERE agent_id % 10 = 3 AND m_sup > 75e-2)")
+@plan("SELECT claim_id, content FROM claims WHERE claim_id IN (SELECT claim_id FROM bba WHERE evidence_type = 'testimonial' AND m_sup > 75e-2)")
 def semi_join_scope(t):
-    return t.claims.join(t.bba.where("agent_id % 10 = 3 AND m_sup > 0.75"), "claim_id", "left_semi").select("claim_id", "content")
+    return t.claims.join(t.bba.where("evidence_type = 'testimonial' AND m_sup > 0.75"), "claim_id", "left_semi").select("claim_id", "content")
 
 
 @plan("SELECT DISTINCT source_id AS claim_id FROM dag WHERE source_id NOT IN (SELECT target_id FROM dag)")
@@ -108,9 +108,9 @@ def edges_of_either_end(t):
     return R.undirected(t.edges, "strength").join(mine, "node").groupBy(F.col("node").alias("claim_id")).agg(N().alias("n_edges"), R6(F.avg("strength") + TIE).alias("mean_strength"))
 
 
-@plan("SELECT source_id, target_id, source_key, relationship, CASE relationship WHEN 'supports' THEN 'directional_support' WHEN 'contradicts' THEN 'mutual_exclusion' END AS factor, CASE relationship WHEN 'supports' THEN 7e-1 WHEN 'contradicts' THEN 0e0 END AS forward, CASE relationship WHEN 'supports' THEN 15e-2 WHEN 'contradicts' THEN 0e0 END AS reverse FROM edges WHERE strength >= 99e-2")
+@plan("SELECT source_id, target_id, source_key, relationship, CASE relationship WHEN 'supports' THEN 'directional_support' WHEN 'contradicts' THEN 'mutual_exclusion' END AS factor, CASE relationship WHEN 'supports' THEN 7e-1 WHEN 'contradicts' THEN 0e0 END AS forward, CASE relationship WHEN 'supports' THEN 15e-2 WHEN 'contradicts' THEN 0e0 END AS reverse FROM edges")
 def lateral_factor_map(t):
-    return t.edges.where("strength >= 0.99").select("source_id", "target_id", "source_key", "relationship", *[K.lookup({k: v[i] for k, v in K.FACTOR.items()}, F.col("relationship")).alias(n) for i, n in enumerate(("factor", "forward", "reverse"))])
+    return t.edges.select("source_id", "target_id", "source_key", "relationship", *[K.lookup({k: v[i] for k, v in K.FACTOR.items()}, F.col("relationship")).alias(n) for i, n in enumerate(("factor", "forward", "reverse"))])
 
 
 @plan("SELECT claim_id, (SELECT count(*) FROM edges e WHERE e.source_id = c.claim_id OR e.target_id = c.claim_id) AS degree FROM claims c")

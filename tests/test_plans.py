@@ -15,7 +15,7 @@ QUICK = (
     "full_join_sides", "exact_median", "top_contesters", "vector_centroids", "distinct_on_latest", "rising_streaks", "weekly_activity", "trigram_similarity", "upsert", "ancestor_lineage",
     "lowest_common_ancestor", "alternative_sets", "derivation_roots", "clustering_coefficient", "topological_order", "gql_nodes", "transitive_support", "scalar_propagation", "interval_propagation",
     "truth_propagation", "sheaf_cohomology", "interval_sections", "theme_assignment", "knn_candidates", "hybrid_fusion", "graph_recall", "match_scores", "agent_reputation", "wilson_intervals",
-    "stream_refresh", "event_versions",
+    "stream_refresh", "event_versions", "lateral_factor_map", "semi_join_scope", "seed_expansion",
 )
 
 
