@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import evidence as E
-from claimloom.operators import cluster, combine, gql, graph, inference, retrieval
+from claimloom.operators import cluster, combine, components, gql, graph, inference, retrieval
 
 
 def masses(n, seed):
@@ -204,3 +205,27 @@ def test_stream_of_files_in_no_order_refreshes_every_user(spark, tmp_path):
         os.utime(to, (1_700_000_000 + k, 1_700_000_000 + k))
     got = {r["user_id"]: (r["n"], r["mean_value"]) for r in entry.queries()["stream_refresh"](spark, str(tmp_path)).collect()}
     assert got == {k: (1, float(k)) for k in range(40)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_edges_of_a_task_become_stars(seed, monkeypatch):
+    rng = random.Random(seed)
+    edges = [(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(rng.randrange(40))) if a > b]
+    least = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    u, v = components.least_of(np.array([a for a, _ in edges], np.int64), np.array([b for _, b in edges], np.int64))
+    assert list(zip(u.tolist(), v.tolist())) == sorted((x, y) for x, y in least.items() if x != y)
+    # in small steps, and let go early
+    monkeypatch.setattr(components, "STEP_EDGES", 3)
+    monkeypatch.setattr(components, "HELD_EDGES", 5)
+    batches = [pa.RecordBatch.from_pylist([{"u": a, "v": b}]) for a, b in edges]
+    again = [(r["u"], r["v"]) for out in components._contract(iter(batches)) for r in out.to_pylist()]
+    u, v = components.least_of(np.array([a for a, _ in again], np.int64), np.array([b for _, b in again], np.int64))
+    assert list(zip(u.tolist(), v.tolist())) == sorted((x, y) for x, y in least.items() if x != y)
+
+
+def test_components_of_text_nodes(spark):
+    e = spark.createDataFrame([("b", "a"), ("b", "c"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "z"), (None, "a")], "u string, v string")
+    assert {(r["node"], r["root"]) for r in components.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")}
