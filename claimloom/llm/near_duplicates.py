@@ -138,38 +138,92 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+class _Sets:
+    """The sets of one side in order of size, ready to be compared with one set after the other.
+
+    ``right`` None compares the sets of ``left`` with the later ones of left.
+    """
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float):
+        self.own, self.threshold = right is None, threshold
+        right = left if right is None else right
+        sizes = np.array([len(x) for x in right])
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.words = np.unique(np.concatenate(left if self.own else [*left, *right]))
+        self.flat = np.concatenate([np.searchsorted(self.words, right[i]) for i in self.order.tolist()])
+        self.ends = np.cumsum(self.sizes)
+        self.rank = np.empty(len(sizes), np.int64)
+        self.rank[self.order] = np.arange(len(sizes))
+        self.mark = np.zeros(len(self.words), np.int32)
+
+    def reach(self, i: int, size: int) -> tuple[int, int]:
+        """The places that set i has to be compared with: a set is at the threshold only with sizes within its factor."""
+        lo = int(self.rank[i]) + 1 if self.own else int(np.searchsorted(self.sizes, math.ceil(self.threshold * size - 1e-9)))
+        return lo, int(np.searchsorted(self.sizes, math.floor(size / self.threshold + 1e-9), side="right"))
+
+    def similar(self, marked: np.ndarray, begin: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+        """Which of the sets, whose marks stand in a row, are at the threshold with one of this size."""
+        shared = np.add.reduceat(marked, begin)
+        return shared >= self.threshold * (size + sizes - shared) - 1e-9
+
+
 def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each set of ``left`` those of ``right`` (None: the later ones of left) at the threshold."""
-    own = right is None
-    right = left if own else right
-    sizes = np.array([len(x) for x in right])
-    order = np.argsort(sizes, kind="stable")
-    ranked = sizes[order]
-    both = np.unique(np.concatenate([*left, *right]) if not own else np.concatenate(left))
-    code = [np.searchsorted(both, right[i]) for i in order.tolist()]
-    flat = np.concatenate(code)
-    ends = np.cumsum(ranked)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    mark = np.zeros(len(both), np.int32)
+    by = _Sets(left, right, threshold)
     for i, a in enumerate(left):
-        at = np.searchsorted(both, a)
-        # a set is at the threshold only with sizes within its factor
-        lo = int(rank[i]) + 1 if own else int(np.searchsorted(ranked, math.ceil(threshold * len(a) - 1e-9)))
-        hi = int(np.searchsorted(ranked, math.floor(len(a) / threshold + 1e-9), side="right"))
+        lo, hi = by.reach(i, len(a))
         if lo >= hi:
             continue
-        mark[at] = 1
-        first = int(ends[lo] - ranked[lo])
-        shared = np.add.reduceat(mark[flat[first : ends[hi - 1]]], ends[lo:hi] - ranked[lo:hi] - first)
-        mark[at] = 0
-        ok = shared >= threshold * (len(a) + ranked[lo:hi] - shared) - 1e-9
+        at = np.searchsorted(by.words, a)
+        by.mark[at] = 1
+        first = int(by.ends[lo] - by.sizes[lo])
+        ok = by.similar(by.mark[by.flat[first : by.ends[hi - 1]]], by.ends[lo:hi] - by.sizes[lo:hi] - first, len(a), by.sizes[lo:hi])
+        by.mark[at] = 0
         if ok.any():
-            yield i, order[lo:hi][ok]
+            yield i, by.order[lo:hi][ok]
 
 
-def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
-    """Links of one task: texts of one or several components, or of two blocks of one."""
+def _connecting(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Some of the pairs of ``_similar`` that connect all that those connect.
+
+    A set is not compared with one that it is connected with already. It meets the others in
+    growing steps, so that in a group of near copies each meets but a few.
+    """
+    by = _Sets(left, right, threshold)
+    theirs = np.arange(len(by.order))
+    mine = theirs if by.own else np.arange(len(left)) + len(theirs)
+    for i, a in enumerate(left):
+        here = int(by.rank[i]) if by.own else i
+        label = mine[here]
+        lo, hi = by.reach(i, len(a))
+        open_, step = np.arange(lo, hi), 8
+        open_ = open_[theirs[open_] != label]
+        if not len(open_):
+            continue
+        at = np.searchsorted(by.words, a)
+        by.mark[at] = 1
+        while len(open_):
+            now, open_ = open_[:step], open_[step:]
+            sizes = by.sizes[now]
+            ok = by.similar(by.mark[by.flat[ragged(by.ends[now] - sizes, sizes)]], np.cumsum(sizes) - sizes, len(a), sizes)
+            if ok.any():
+                labels, first = np.unique(theirs[now[ok]], return_index=True)
+                yield i, by.order[now[ok][first]]
+                theirs[np.isin(theirs, labels)] = label
+                if not by.own:
+                    mine[np.isin(mine, labels)] = label
+                open_ = open_[theirs[open_] != label]
+            step *= 8
+        by.mark[at] = 0
+
+
+def _verify(table: pa.Table, n: int, threshold: float, counted: bool = True) -> pa.Table:
+    """Links of one task: texts of one or several components, or of two blocks of one.
+
+    Where links are not ``counted``, only as many pairs are compared as the classes need.
+    """
+    pairs = _similar if counted else _connecting
     table = table.combine_chunks()
     keys = table["node"].to_pylist()
     seen: dict[int, int] = {}
@@ -200,7 +254,7 @@ def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
             if not left or not right:
                 continue
         to = left if right is None else right
-        for i, partners in _similar([sets[i] for i in left], None if right is None else [sets[i] for i in right], threshold):
+        for i, partners in pairs([sets[i] for i in left], None if right is None else [sets[i] for i in right], threshold):
             links[left[i]] += len(partners)
             for j in partners.tolist():
                 links[to[j]] += 1
@@ -212,8 +266,8 @@ def _verify(table: pa.Table, n: int, threshold: float) -> pa.Table:
     return pa.table({"node": pa.array([keys[i] for i in on], pa.int64()), "peer": pa.array([keys[root(i)] for i in on], pa.int64()), "links": pa.array(links[on])})
 
 
-def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, int]:
-    """Each row's (doc_id, key), each text (key, first_id, n_copies, n_links, root), and the number of rows."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float, counted: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """Each row's (doc_id, key), each text (key, first_id, n_copies, n_links if ``counted``, root), and the number of rows."""
     bands, rows = plan_bands(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
@@ -260,7 +314,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
         (low == high).alias("whole"),
         F.when(F.col("blocks") == 1, F.xxhash64(F.pmod(F.xxhash64("comp"), F.lit(shared)))).otherwise(F.xxhash64("comp", low, high)).alias("task"),
     )
-    verified = stored(rep.groupBy("task").applyInArrow(lambda t: _verify(t, n, threshold), "node long, peer long, links long"), "links")
+    verified = stored(rep.groupBy("task").applyInArrow(lambda t: _verify(t, n, threshold, counted), "node long, peer long, links long"), "links")
     classes = components(verified.select(F.col("node").alias("u"), F.col("peer").alias("v")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = texts.select("node", "key", "first_id", "n_copies").join(counts, "node", "left").join(classes, "node", "left")
@@ -287,7 +341,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     All columns are kept. Rows equal in doc_id and text count as one document: the first of them
     in the order of their columns as JSON.
     """
-    rows, named, _ = _classes(docs, n, threshold, recall)
+    rows, named, _ = _classes(docs, n, threshold, recall, counted=False)
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("best"))
     chosen = chosen.select(F.col("best.key").alias("key"), F.col("best.first_id").alias("first_id"), F.lit(True).alias("stays"))
     copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("times"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from claimloom.llm import near_duplicates as N
@@ -123,3 +124,31 @@ def test_components(spark):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("small", [64, 4])
+def test_keep_one_keeps_one_of_each_brute_force_class(spark, odd_docs, monkeypatch, small):
+    monkeypatch.setattr(N, "SMALL", small)
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect() if r["doc_id"] is not None]
+    rows = list(enumerate(t for _, t in rows + near_copies(40) + near_copies(3, seed=2) + near_copies(5, words=9, seed=3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in N.keep_one(docs).collect()) == sorted({c for _, c, _, _ in brute(rows)})
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fewer_pairs_connect_the_same(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(10**6, 40, replace=False) for _ in range(3)]
+    sets = [np.unique(np.where(rng.random(40) < rng.choice([0, 0.05, 0.15]), rng.integers(0, 10**6, 40), base[k % 3])).astype(np.uint64) for k in range(rng.integers(2, 60))]
+    sides = [(sets, None), (sets[::2], sets[1::2])]
+    for left, right in sides:
+        joined = []
+        for pairs in (N._similar, N._connecting):
+            shift = 0 if right is None else len(left)
+            label = list(range(len(sets)))
+            for i, partners in pairs(left, right, 0.8):
+                for j in partners.tolist():
+                    a, b = label[i], label[j + shift]
+                    label = [min(a, b) if x in (a, b) else x for x in label]
+            joined.append(label)
+        assert joined[0] == joined[1]
