@@ -148,12 +148,53 @@ def rag_score(similarity: Column, truth: Column, degree: Column) -> Column:
     return 0.6 * similarity + 0.2 * truth + 0.2 * F.least(degree / 10, F.lit(1.0))
 
 
-def close_pairs(vectors: DataFrame, most: float, group: str) -> DataFrame:
-    """(left_id, right_id, distance) within groups of bounded size such as chosen id lists: cosine distance below ``most``."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    d = 1 - cosine(F.col("a.vec"), F.col("b.vec"))
-    got = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.claim_id") < F.col("b.claim_id")))
-    return got.select(F.col("a.claim_id").alias("left_id"), F.col("b.claim_id").alias("right_id"), d.alias("distance")).where(F.col("distance") < most)
+def close_pairs(vectors: DataFrame, most: float, group: str, block: int = 2048) -> DataFrame:
+    """(left_id, right_id, distance) within groups: cosine distance below ``most``.
+
+    A group is cut into blocks of about ``block`` vectors, and each pair of blocks is a product of matrices.
+    What comes within SLACK of the bound is computed again term by term, so the sums are those of ``cosine``.
+    """
+    v = vectors.where(F.col(group).isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).select("claim_id", "vec", F.col(group).alias("k"), F.size("vec").alias("n_dims"))
+    blocks = v.groupBy("k", "n_dims").agg(F.ceil(F.count("*") / block).cast("long").alias("n_blocks"))
+    v = v.join(blocks, ["k", "n_dims"]).withColumn("of", F.pmod(F.xxhash64("claim_id"), F.col("n_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
+    v = v.select("*", other.alias("with")).select("claim_id", "vec", "k", "n_dims", F.least("of", "with").alias("i"), F.greatest("of", "with").alias("j"), (F.col("of") > F.col("with")).alias("second"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        dims, second = rows.column("n_dims")[0].as_py(), np.asarray(rows.column("second"))
+        ids, x = np.asarray(rows.column("claim_id")), np.asarray(pc.list_flatten(rows.column("vec")), np.float64).reshape(len(second), dims)
+        a, b = (np.flatnonzero(~second), np.flatnonzero(second)) if rows.column("i")[0] != rows.column("j")[0] else (np.arange(len(ids)),) * 2
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            length = np.sqrt(_in_order(x, x))
+            unit, found = x / length[:, None], []
+            for k in range(0, len(a), 256):
+                p, q = np.nonzero(1 - unit[a[k : k + 256]] @ unit[b].T < most + SLACK)
+                p, q = a[k + p], b[q]
+                if a is b:
+                    p, q = p[p != q], q[p != q]
+                    p, q = p[ids[p] < ids[q]], q[ids[p] < ids[q]]
+                p, q = np.where(ids[p] <= ids[q], p, q), np.where(ids[p] <= ids[q], q, p)
+                d = 1 - _in_order(x[p], x[q]) / (length[p] * length[q])
+                on = (d < most) & (ids[p] < ids[q])
+                found.append((ids[p[on]], ids[q[on]], d[on]))
+        left, right, d = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"left_id": pa.array(left, pa.int64()), "right_id": pa.array(right, pa.int64()), "distance": pa.array(d, pa.float64())})
+
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    return v.repartition(tasks, "k", "n_dims", "i", "j").groupBy("k", "n_dims", "i", "j").applyInArrow(run, "left_id long, right_id long, distance double")
+
+
+#: More than a matrix product can differ from a sum in order.
+SLACK = 1e-9
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first component to the last."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out += x[:, k] * y[:, k]
+    return out
 
 
 def diverse(candidates: list[tuple[int, float, list[float]]], k: int, trade: float = 0.5) -> list[int]:
