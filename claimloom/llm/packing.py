@@ -6,13 +6,11 @@ being the number of open sequences with g free places; ties go to the tightest f
 new sequence is opened only for an item that fits into none. Items come in order of
 falling length.
 
-Only lengths matter for that rule, so it runs on the histogram of lengths, whose size is
-bounded by the sequence length, and never on the items. The items of a length come in at most
-``PARTS`` equal batches; a batch goes into the gap that the rule names for its first item, as
-far as there are open sequences of that gap, and what remains asks anew. So the driver has at most
-PARTS batches of each length, whatever the corpus. A length of up to PARTS items is placed
-item by item; in longer ones a batch is the same small fraction of them at every size. The items find
-their places in parallel: an item's rank among those of its length names the batch.
+Only lengths matter for that rule, so it runs in the driver on the histogram of lengths, item by item at
+every size: about a hundred thousand items a second, in one thread. The driver holds the open sequences as
+runs of consecutive numbers and writes out where items go as it proceeds. The items find their places in
+parallel. For that the items of a length are listed in at most ``PARTS`` equal batches, and an item's rank
+among those of its length names the batch; the batches have no part in which sequence takes an item.
 
 Defined results: null and empty texts are one end id; repeated rows are documents of their
 own; null ids are kept; extra columns of the input take no part; no rows give no rows.
@@ -27,16 +25,18 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch, stored
+from .files import filesystem
 from .textblocks import ragged, slices
 from .tokens import public_path, tokenizer
 
-#: Batches of a length.
-PARTS = 512
+#: Batches of a length, and runs that the driver holds.
+PARTS, RUNS_HELD = 512, 1 << 18
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -94,59 +94,86 @@ class Runs:
         for column, value in zip((self.length, self.slot, self.first, self.count, self.sequence, self.offset), values, strict=True):
             column.append(value)
 
-    def table(self) -> pa.Table:
-        return pa.table({k: pa.array(np.asarray(v, np.int64)) for k, v in vars(self).items()})
+    def spill(self) -> None:
+        """Called after each length."""
+
+
+class StoredRuns(Runs):
+    """Runs that go to files below ``path``, RUNS_HELD and those of one length at once."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self._fs, self._at = filesystem(path)
+        self._fs.create_dir(self._at, recursive=True)
+        self._files = 0
+
+    def spill(self, least: int = RUNS_HELD) -> None:
+        if len(self.length) >= least:
+            columns = {k: v for k, v in vars(self).items() if not k.startswith("_")}
+            pq.write_table(pa.table({k: pa.array(np.asarray(v, np.int64)) for k, v in columns.items()}), f"{self._at}/part-{self._files:05d}.parquet", filesystem=self._fs)
+            self._files += 1
+            for v in columns.values():
+                del v[:]
 
 
 def batch_size(count: int, parts: int = PARTS) -> int:
     return -(-count // parts)
 
 
-def sum_of_squares(counts: np.ndarray, seq_len: int, parts: int = PARTS) -> tuple[Runs, int]:
+def sum_of_squares(counts: np.ndarray, seq_len: int, parts: int = PARTS, runs: Runs | None = None) -> tuple[Runs, int]:
     """Place counts[l] items of each length l < seq_len: the runs, and the number of sequences."""
-    runs, used = Runs(), 0
-    n = [0] * (seq_len + 1)  # open sequences by gap
-    stacks: list[list[tuple[int, int]]] = [[] for _ in range(seq_len + 1)]  # those sequences, as first and count
+    runs, used, base = Runs() if runs is None else runs, 0, seq_len + 1
+    n = [0] * base  # open sequences by gap
+    stacks: list[list[list[int]]] = [[] for _ in range(base)]  # those sequences, as first and count
     for s in np.flatnonzero(counts)[::-1].tolist():
         total = int(counts[s])
         batch = batch_size(total, parts)
 
-        def cost(g: int, s: int = s) -> int:
-            # what the gap that goes and the one that remains add to the squares; a full
+        def key(g: int, s: int = s) -> int:
+            # what the gap that goes and the one that remains add to the squares, then the gap; a full
             # sequence is closed and counts for nothing
-            return 1 - 2 * n[g] if g == s else 2 * (n[g - s] - n[g]) + 2
+            return (1 - 2 * n[g] if g == s else 2 * (n[g - s] - n[g]) + 2) * base + g
 
-        heap = [(cost(g), g) for g in range(s, seq_len) if n[g]]
+        heap = [key(g) for g in range(s, seq_len) if n[g]]
         heapify(heap)
         for slot in range(batch_size(total, batch)):
-            first, left = 0, min(batch, total - slot * batch)
-            while left:
-                while heap and (not n[heap[0][1]] or cost(heap[0][1]) != heap[0][0]):
+            took: dict[int, list[list[int]]] = {}  # by gap, sequences as first and count
+            for _ in range(min(batch, total - slot * batch)):
+                while heap and (not n[heap[0] % base] or key(heap[0] % base) != heap[0]):
                     heappop(heap)  # as it was before a later change
-                gap = heap[0][1] if heap else seq_len
-                if gap == seq_len:
-                    stacks[gap].append((used, left))
-                    used, n[gap] = used + left, left
-                take = min(left, n[gap])
-                n[gap] -= take
+                if heap:
+                    gap = heap[0] % base
+                    n[gap] -= 1
+                    top = stacks[gap][-1]
+                    to = top[0]
+                    top[0], top[1] = to + 1, top[1] - 1
+                    if not top[1]:
+                        stacks[gap].pop()
+                else:
+                    gap, to, used = seq_len, used, used + 1
                 if gap > s:
-                    n[gap - s] += take
-                left -= take
-                while take:
-                    begin, held = stacks[gap].pop()
-                    k = min(held, take)
-                    if held > k:
-                        stacks[gap].append((begin + k, held - k))
-                    runs.add(s, slot, first, k, begin, seq_len - gap)
-                    if gap > s:
-                        stacks[gap - s].append((begin, k))
-                    first, take = first + k, take - k
+                    n[gap - s] += 1
+                    _append(stacks[gap - s], to)
+                _append(took.setdefault(gap, []), to)
                 for g in (gap - s, gap, gap + s):  # as the gap that goes, and as the one that remains
                     if s <= g < seq_len and n[g]:
-                        heappush(heap, (cost(g), g))
+                        heappush(heap, key(g))
+            first = 0
+            for gap, held in took.items():
+                for begin, count in held:
+                    runs.add(s, slot, first, count, begin, seq_len - gap)
+                    first += count
+        runs.spill()
     return runs, used
 
 
+def _append(held: list[list[int]], sequence: int) -> None:
+    if held and sum(held[-1]) == sequence:
+        held[-1][1] += 1
+    else:
+        held.append([sequence, 1])
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = 2048, end_id: int = 0, parts: int = PARTS) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
     spark = docs.sparkSession
@@ -156,7 +183,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = 2048
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most seq_len rows
         counts[r["length"]] = r["n"]
     whole, counts[seq_len] = int(counts[seq_len]), 0
-    runs, used = sum_of_squares(counts, seq_len, parts)
+    path = scratch(spark, "places")
+    runs, used = sum_of_squares(counts, seq_len, parts, StoredRuns(path))
+    runs.spill(0)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
@@ -166,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = 2048
     open_ = ranked.where(F.col("length") < seq_len).join(F.broadcast(batches), "length")  # at most seq_len rows
     slot = F.floor(F.col("rank") / F.col("batch"))
     open_ = open_.select(*keep, slot.alias("slot"), (F.col("rank") - slot * F.col("batch")).alias("within"))
-    places = stored(spark.createDataFrame(runs.table()), "places")
+    places = spark.read.schema("length long, slot long, first long, count long, sequence long, offset long").parquet(path)
     here = (F.col("within") >= F.col("first")) & (F.col("within") < F.col("first") + F.col("count"))
     found = open_.join(places, ["length", "slot"]).where(here)
     found = found.select(*keep, (F.col("sequence") + F.col("within") - F.col("first")).alias("sequence_id"), "offset")
